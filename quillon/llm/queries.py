@@ -4,15 +4,23 @@ from __future__ import annotations
 
 from .common import documents
 from .decontaminate import op10_decontaminate
+from .fingerprints import op6_fingerprints
+from .packing import packed_pieces
 from .secrets import secrets
 from .simhash import op2_simhash
+from .tokencount import counts
 from .toxicity import op9_toxicity
+from .warc import op3_warc
 
 
 def queries():
     read = lambda s, d, t: s.read.parquet(f"{d}/{t}.parquet")
     return {
         "op2_simhash": lambda s, d: op2_simhash(documents(s, d)),
+        "op3_warc": lambda s, d: op3_warc(read(s, d, "pages")),
+        "op5_packing": lambda s, d: packed_pieces(documents(s, d)),
+        "op6_fingerprints": lambda s, d: op6_fingerprints(documents(s, d)),
+        "op7_token_counts": lambda s, d: counts(documents(s, d)),
         "op8_secrets": lambda s, d: secrets(documents(s, d)),
         "op9_toxicity": lambda s, d: op9_toxicity(documents(s, d), read(s, d, "labels")),
         "op10_decontaminate": lambda s, d: op10_decontaminate(documents(s, d), read(s, d, "benchmark")),
