@@ -28,6 +28,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets the cleaner drop the shuffle files of what is stored now
     return spark.read.schema(df.schema).parquet(path)
 
 

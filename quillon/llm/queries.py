@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import documents
 from .decontaminate import op10_decontaminate
 from .fingerprints import op6_fingerprints
+from .lines import op1_line_dedup
 from .packing import packed_pieces
 from .secrets import secrets
 from .simhash import op2_simhash
@@ -16,6 +17,7 @@ from .warc import op3_warc
 def queries():
     read = lambda s, d, t: s.read.parquet(f"{d}/{t}.parquet")
     return {
+        "op1_line_dedup": lambda s, d: op1_line_dedup(documents(s, d)),
         "op2_simhash": lambda s, d: op2_simhash(documents(s, d)),
         "op3_warc": lambda s, d: op3_warc(read(s, d, "pages")),
         "op5_packing": lambda s, d: packed_pieces(documents(s, d)),
