@@ -9,6 +9,7 @@ from .lines import op1_line_dedup
 from .packing import packed_pieces
 from .secrets import secrets
 from .simhash import op2_simhash
+from .suffixes import op4_suffix_dedup
 from .tokencount import counts
 from .toxicity import op9_toxicity
 from .warc import op3_warc
@@ -20,6 +21,7 @@ def queries():
         "op1_line_dedup": lambda s, d: op1_line_dedup(documents(s, d)),
         "op2_simhash": lambda s, d: op2_simhash(documents(s, d)),
         "op3_warc": lambda s, d: op3_warc(read(s, d, "pages")),
+        "op4_suffix_dedup": lambda s, d: op4_suffix_dedup(documents(s, d)),
         "op5_packing": lambda s, d: packed_pieces(documents(s, d)),
         "op6_fingerprints": lambda s, d: op6_fingerprints(documents(s, d)),
         "op7_token_counts": lambda s, d: counts(documents(s, d)),
