@@ -11,6 +11,8 @@ K = 5
 SKETCH = 64
 #: Ids of neighbouring documents that are sorted together.
 BUCKET = 1024
+#: The bucket of null ids, below all others.
+NO_ID = -(1 << 62)
 
 
 def word_hashes(text: Column) -> Column:
@@ -64,19 +66,20 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, t, s (text and sketch) with next_t, next_s of the next row by descending doc_id, then text.
 
     After the last comes the first; null doc_ids come last. Ids are sorted in buckets; only one id for each bucket
-    is sorted in one place, to find the bucket that follows.
+    is sorted in one place, to find the bucket that follows. Texts are shuffled once, by bucket: sketches are made
+    after that, and the join with the following bucket's head keeps the partitioning.
     """
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.floor(F.col("doc_id") / BUCKET).alias("bucket"))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.coalesce(F.floor(F.col("doc_id") / BUCKET), F.lit(NO_ID)).alias("bucket"))
     tops = own.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    order = Window.orderBy(F.desc_nulls_last("bucket"))
+    order = Window.orderBy(F.desc("bucket"))
     all_of = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = tops.select(F.col("bucket").alias("b"), F.coalesce(F.lead(F.struct("bucket")).over(order), F.first(F.struct("bucket")).over(all_of))["bucket"].alias("following"))
-    heads = own.alias("o").join(tops.alias("p"), F.expr("o.bucket <=> p.bucket and o.doc_id <=> p.top")).groupBy("o.bucket").agg(F.min("o.t").alias("head_t"))
+    after = tops.select(F.col("bucket").alias("b"), F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(all_of)).alias("following"))
+    heads = own.alias("o").join(tops.alias("p"), F.expr("o.bucket = p.bucket and o.doc_id <=> p.top")).groupBy("o.bucket").agg(F.min("o.t").alias("head_t"))
     heads = with_sketch(heads.withColumnRenamed("bucket", "head"), "head_t", "head_s")
-    heads = after.join(heads, F.expr("following <=> head")).select("b", "head_t", "head_s")
+    heads = after.join(heads, F.expr("following = head")).select("b", "head_t", "head_s")
     w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "t")
-    rows = with_sketch(own, "t", "s").withColumn("n", F.lead(F.struct("t", "s")).over(w))
-    rows = rows.join(heads, F.expr("bucket <=> b"))
+    rows = with_sketch(own.repartition("bucket"), "t", "s").withColumn("n", F.lead(F.struct("t", "s")).over(w))
+    rows = rows.join(heads, F.expr("bucket = b"))
     return rows.select("doc_id", "t", "s", F.coalesce("n.t", "head_t").alias("next_t"), F.coalesce("n.s", "head_s").alias("next_s"))
 
 
