@@ -11,6 +11,8 @@ K = 5
 SKETCH = 64
 #: Ids of neighbouring documents that are sorted together.
 BUCKET = 1024
+#: The buckets' largest ids are broadcast up to so many (16 bytes each).
+BROADCAST_ROWS = 250_000
 #: The bucket of null ids, below all others.
 NO_ID = -(1 << 62)
 
@@ -74,7 +76,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy(F.desc("bucket"))
     all_of = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     after = tops.select(F.col("bucket").alias("b"), F.coalesce(F.lead("bucket").over(order), F.first("bucket").over(all_of)).alias("following"))
-    heads = own.alias("o").join(tops.alias("p"), F.expr("o.bucket = p.bucket and o.doc_id <=> p.top")).groupBy("o.bucket").agg(F.min("o.t").alias("head_t"))
+    few = tops.count() <= BROADCAST_ROWS  # a row for each bucket; more of them are joined by a shuffle
+    heads = own.alias("o").join((F.broadcast(tops) if few else tops).alias("p"), F.expr("o.bucket = p.bucket and o.doc_id <=> p.top")).groupBy("o.bucket").agg(F.min("o.t").alias("head_t"))
     heads = with_sketch(heads.withColumnRenamed("bucket", "head"), "head_t", "head_s")
     heads = after.join(heads, F.expr("following = head")).select("b", "head_t", "head_s")
     w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("doc_id"), "t")
