@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, packed, parts, runs, slices, stored, texts, unpacked
+from .common import mix, packed, packed_schema, parts, runs, slices, stored, texts, unpacked
 from .decontaminate import words
 
 #: Lines match at this Jaccard similarity of their word sets: NUM / DEN.
@@ -157,68 +157,110 @@ def rarity(sets: DataFrame) -> np.ndarray:
     return out
 
 
+PREFIX = {"token": "u8", "id": "i8", "doc": "i8", "row": "i8", "line": "u4", "n": "u4", "place": "u4", "low": "u8", "high": "u8"}
+
+
 def prefixes(held, n_parts: int):
-    """Each set under the rarest of its words, as many as a match must share one of."""
+    """Each set under the rarest of its words, as many as a match must share one of, with a bitmap of its words."""
 
     def work(batches):
         count = held.value
         for b in batches:
-            for base, n, t in zip(*(b.column(c).to_pylist() for c in ("base", "n", "tokens"))):
-                n, token = np.frombuffer(n, np.uint32).astype(np.int64), widen(t)
+            for base, doc, row, line, n, t in zip(*(b.column(c).to_pylist() for c in ("base", "doc", "row", "line", "n", "tokens"))):
+                doc, row, line, n = (np.frombuffer(x, k) for x, k in ((doc, "i8"), (row, "i8"), (line, "u4"), (n, "u4")))
+                n, token = n.astype(np.int64), widen(t)
                 own = np.repeat(np.arange(len(n)), n)
+                bit = np.uint64(1) << (mix(token, 5) & np.uint64(63))
+                side = (mix(token, 5) >> np.uint64(6) & np.uint64(1)).astype(bool)
+                first = np.cumsum(n) - n
+                low, high = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), first) for x in (side, ~side))
                 order = np.lexsort((token, count[(token % np.uint64(COUNTERS)).astype(np.int64)], own))
-                place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+                place = np.arange(len(token)) - np.repeat(first, n)
                 keep = place < np.repeat(n - needed(n) + 1, n)
-                token, own = token[order][keep], own[keep]
-                yield packed((mix(token, 4) % np.uint64(n_parts)).astype(np.int32), token=token, id=base + own)
+                token, own, place = token[order][keep], own[keep], place[keep]
+                part = (mix(token, 4) % np.uint64(n_parts)).astype(np.int32)
+                yield packed(part, token=token, id=base + own, doc=doc[own], row=row[own], line=line[own], n=n[own].astype(np.uint32), place=place.astype(np.uint32), low=low[own], high=high[own])
 
     return work
 
 
-def shared(batches):
-    """The (token, id) whose token is in the prefix of other sets too, packed by where the id's set is."""
-    got = unpacked(batches, token="u8", id="i8")
-    order = np.argsort(got["token"], kind="stable")
-    token, own = got["token"][order], got["id"][order]
-    _, n = runs(token)
-    keep = np.repeat(n > 1, n)
-    if keep.any():
-        token, own = token[keep], own[keep]
-        yield packed((own >> np.int64(40)).astype(np.int32), token=token, id=own)
+def candidates(least: int, most: int):
+    """(x, y, more): for each set, earlier sets under one of its tokens that length, place and bitmap let match it.
+
+    Of each token a set gets its candidates from the `least`-th to before the `most`-th, nearest first; more tells
+    that it may have others. A common token's sets so give as many pairs as there are sets, not as pairs of them.
+    """
 
+    def work(batches):
+        got = unpacked(batches, **PREFIX)
+        order = np.lexsort((got["line"], got["row"], got["doc"], got["token"]))
+        token = got["token"][order]
+        _, size = runs(token)
+        order = order[np.repeat(size > 1, size)]
+        token, own, n, place, low, high = (got[c][order] for c in ("token", "id", "n", "place", "low", "high"))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        had, at, gap = np.zeros(len(own), np.int64), np.arange(len(own)), 0
+        while True:
+            gap += 1
+            at = at[at >= gap]
+            at = at[token[at] == token[at - gap]]
+            at = at[had[at] < most]
+            if not len(at):
+                break
+            y = at - gap
+            a, b = n[at], n[y]
+            fits = (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)) & ((NUM + DEN) * (1 + np.minimum(a - place[at], b - place[y]) - 1) >= NUM * (a + b))
+            differ = np.bitwise_count(low[at] ^ low[y]).astype(np.int64) + np.bitwise_count(high[at] ^ high[y])
+            fits &= (NUM + DEN) * differ <= (DEN - NUM) * (a + b)
+            x, y = at[fits], y[fits]
+            give = had[x] >= least
+            had[x] += 1
+            if give.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own[x[give]]), pa.array(own[y[give]]), pa.array(had[x[give]] == most)], names=["x", "y", "more"])
 
-GROUPED = "part int, token binary, doc binary, row binary, line binary, n binary, tokens binary"
+    return work
+
+
+WANTED = "part int, base long, doc binary, row binary, line binary, n binary, tokens binary, id binary, to binary"
+SENT = "part int, to binary, own binary, row binary, line binary, n binary, tokens binary"
+
+
+def want(batches):
+    """(id, to) as packed rows where the id's set is."""
+    for b in batches:
+        own, to = (b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("id", "to"))
+        yield packed((own >> np.int64(40)).astype(np.int32), id=own, to=to)
 
 
-def attach(n_parts: int):
-    """Joins the sets' words and places to the (token, id) pairs of one partition."""
-    names = [x.split()[0] for x in GROUPED.split(", ")]
+def send(n_parts: int):
+    """The words of each wanted set, packed by where they are compared."""
+    names = [x.split()[0] for x in SENT.split(", ")]
 
     def work(batches):
-        pairs, blocks = [], []
+        wanted, blocks = [], []
         for b in batches:
             for x in b.to_pylist():
-                (pairs if x["base"] is None else blocks).append(x)
-        if not pairs:
+                (wanted if x["base"] is None else blocks).append(x)
+        if not wanted:
             return
-        token, own = (np.frombuffer(b"".join(x[c] for x in pairs), t) for c, t in (("token", "u8"), ("id", "i8")))
+        own, to = (np.frombuffer(b"".join(x[c] for x in wanted), "i8") for c in ("id", "to"))
         order = np.argsort(own, kind="stable")
-        token, own = token[order], own[order]
+        own, to = own[order], to[order]
         for x in blocks:
-            doc, row, line, n = (np.frombuffer(x[c], t) for c, t in (("doc", "i8"), ("row", "i8"), ("line", "u4"), ("n", "u4")))
+            row, line, n = (np.frombuffer(x[c], t) for c, t in (("row", "i8"), ("line", "u4"), ("n", "u4")))
+            size, raw = n.astype(np.int64), np.frombuffer(x["tokens"], np.uint8).reshape(-1, WIDE)
+            at = np.cumsum(size) - size
             lo, hi = np.searchsorted(own, x["base"]), np.searchsorted(own, x["base"] + len(n))
             for a in range(lo, hi, 50_000):
-                i, t = own[a : min(hi, a + 50_000)] - x["base"], token[a : min(hi, a + 50_000)]
-                part = (mix(t, 4) % np.uint64(n_parts)).astype(np.int32)
+                i, t = own[a : min(hi, a + 50_000)] - x["base"], to[a : min(hi, a + 50_000)]
+                part = (mix(t, 6) % np.uint64(n_parts)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
                 i, t, part = i[order], t[order], part[order]
-                size, at = n.astype(np.int64), np.r_[0, np.cumsum(n.astype(np.int64))]
-                raw = np.frombuffer(x["tokens"], np.uint8).reshape(-1, WIDE)
                 s, m = runs(part)
                 out = [[] for _ in names]
                 for u, v in zip(s, m):
                     k = i[u : u + v]
-                    for c, y in zip(out, (int(part[u]), t[u : u + v].tobytes(), doc[k].tobytes(), row[k].tobytes(), line[k].tobytes(), n[k].tobytes(), raw[ranges(at[k], size[k])].tobytes())):
+                    for c, y in zip(out, (int(part[u]), t[u : u + v].tobytes(), (k + x["base"]).tobytes(), row[k].tobytes(), line[k].tobytes(), n[k].tobytes(), raw[ranges(at[k], size[k])].tobytes())):
                         c.append(y)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], names=names)
 
@@ -226,37 +268,54 @@ def attach(n_parts: int):
 
 
 def verify(batches):
-    """The lines that match an earlier line under one of the tokens: candidates by length, then exact Jaccard."""
+    """(x, row, line) of the sets whose words match those of a candidate sent to the same place."""
     got = defaultdict(list)
     for b in batches:
-        for c in ("token", "doc", "row", "line", "n", "tokens"):
+        for c in ("to", "own", "row", "line", "n", "tokens"):
             got[c] += b.column(c).to_pylist()
     if not got:
         return
-    token, doc, row, line, n = (np.frombuffer(b"".join(got[c]), t) for c, t in (("token", "u8"), ("doc", "i8"), ("row", "i8"), ("line", "u4"), ("n", "u4")))
-    raw = b"".join(got["tokens"])
-    n = n.astype(np.int64)
-    at = np.r_[0, np.cumsum(n)]
-    order = np.lexsort((line, row, doc, token))
-    starts, sizes = runs(token[order])
-    sizes_of, found = n.tolist(), {}
-    for s, m in zip(starts, sizes):
-        own = order[s : s + m].tolist()
-        held: list[tuple[int, frozenset]] = []
-        for i in own:
-            k = sizes_of[i]
-            t = frozenset(raw[WIDE * j : WIDE * j + WIDE] for j in range(at[i], at[i + 1]))
-            place = (int(row[i]), int(line[i]))
-            if place not in found:
-                low, high = needed(k), DEN * k // NUM
-                for m2, u in held:
-                    if low <= m2 <= high and (both := len(t & u)) * DEN >= NUM * (k + m2 - both):
-                        found[place] = True
-                        break
-            held.append((k, t))
+    to, own, row, line, n = (np.frombuffer(b"".join(got[c]), t) for c, t in (("to", "i8"), ("own", "i8"), ("row", "i8"), ("line", "u4"), ("n", "u4")))
+    raw, n = b"".join(got["tokens"]), n.astype(np.int64)
+    at = np.r_[0, np.cumsum(n)].tolist()
+    order = np.lexsort((own != to, to))  # the set itself stands first
+    words = lambda i: frozenset(raw[WIDE * j : WIDE * j + WIDE] for j in range(at[i], at[i + 1]))
+    found = []
+    for s, m in zip(*runs(to[order])):
+        first, *rest = order[s : s + m].tolist()
+        mine = words(first)
+        for i in rest:
+            both = len(mine & words(i))
+            if both * DEN >= NUM * (len(mine) + int(n[i]) - both):
+                found.append(first)
+                break
     if found:
-        rows, lines = zip(*found)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lines, pa.int64())], names=["row", "line"])
+        yield pa.RecordBatch.from_arrays([pa.array(to[found]), pa.array(row[found]), pa.array(line[found].astype(np.int64))], names=["x", "row", "line"])
+
+
+#: Candidates of a set under each of its tokens in the first round; each further round takes sixteen times as many.
+FIRST_ROUND = 4
+
+
+def near_matches(sets: DataFrame, n: int) -> DataFrame:
+    """(row, line) of the sets that match an earlier one. Sets without a match so far come into the next round while
+    they may have more candidates, so the result is that of all pairs."""
+    held = sets.sparkSession.sparkContext.broadcast(rarity(sets))
+    dealt = sets.drop("part").mapInArrow(prefixes(held, n), packed_schema(*PREFIX)).repartition(n, "part")
+    least, most, found = 0, FIRST_ROUND, None
+    while True:
+        pairs = dealt.mapInArrow(candidates(least, most), "x long, y long, more boolean")
+        if found is not None:
+            pairs = pairs.join(found.select("x"), "x", "left_anti")
+        pairs = stored(pairs.groupBy("x", "y").agg(F.max("more").alias("more")), "pairs")
+        to = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("x").alias("to")), F.struct(F.col("y").alias("id"), F.col("x").alias("to")))).alias("w")).select("w.*").distinct()
+        both = sets.withColumn("part", F.shiftright("base", 40).cast("int")).unionByName(to.mapInArrow(want, "part int, id binary, to binary"), allowMissingColumns=True)
+        both = both.select(*(x.split()[0] for x in WANTED.split(", ")))
+        now = stored(both.repartition(n, "part").mapInArrow(send(n), SENT).repartition(n, "part").mapInArrow(verify, "x long, row long, line long"), "matches")
+        found = now if found is None else found.unionByName(now)
+        if not pairs.where("more").join(found.select("x"), "x", "left_anti").limit(1).count():
+            return found.select("row", "line")
+        least, most = most, most * 16
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
@@ -267,16 +326,10 @@ def later_matches(docs: DataFrame) -> DataFrame:
     Lines of equal sets are merged before any join. Lines without words match nothing.
     """
     n = parts(docs)
-    sc = docs.sparkSession.sparkContext
     dealt = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal_lines(n), CLASSES)
     every = stored(dealt.repartition(n, "part").mapInArrow(merge_lines, SETS), "lines")
     sets = every.where("kind = 1").drop("kind")
-    held = sc.broadcast(rarity(sets))
-    pairs = sets.select("base", "n", "tokens").mapInArrow(prefixes(held, n), "part int, token binary, id binary")
-    pairs = pairs.repartition(n, "part").mapInArrow(shared, "part int, token binary, id binary")
-    both = sets.withColumn("part", F.shiftright("base", 40).cast("int")).unionByName(pairs, allowMissingColumns=True)
-    grouped = both.repartition(n, "part").mapInArrow(attach(n), GROUPED)
-    near = grouped.repartition(n, "part").mapInArrow(verify, "row long, line long")
+    near = near_matches(sets, n)
 
     def spread(batches):
         for b in batches:

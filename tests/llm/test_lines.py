@@ -36,3 +36,7 @@ def test_against_brute_force(spark, sf):
     got = sorted((tuple(r) for r in L.op1_line_dedup(df).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
     assert got == matches(rows)
     assert L.op1_line_dedup(df.limit(0)).count() == 0
+    L.FIRST_ROUND, held = 1, L.FIRST_ROUND
+    got = sorted((tuple(r) for r in L.op1_line_dedup(df).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+    L.FIRST_ROUND = held
+    assert got == matches(rows)
