@@ -52,6 +52,18 @@ def neighbour_credit(tphi: DataFrame, gamma: float = C.NEIGHBOUR_GAMMA, native:
     return tphi.withColumn("credit", F.greatest("phi", F.when(F.col("phi") < native, gamma * near).otherwise(0.0)))
 
 
+def spread_credit(hits: DataFrame, sizes: DataFrame, gamma: float = C.NEIGHBOUR_GAMMA) -> DataFrame:
+    """(qid, term_ix, doc_id, chunk, phi, credit) out of whole memberships (qid, term_ix, doc_id, chunk) alone.
+
+    Chunks that hold no term and have no neighbour that does get no row, so the work follows the hits.
+    sizes: (doc_id, n_chunks).
+    """
+    near = F.array(F.struct((F.col("chunk") - 1).alias("chunk"), F.lit(0.0).alias("phi"), F.lit(gamma).alias("credit")), F.struct(F.col("chunk").alias("chunk"), F.lit(1.0).alias("phi"), F.lit(1.0).alias("credit")), F.struct((F.col("chunk") + 1).alias("chunk"), F.lit(0.0).alias("phi"), F.lit(gamma).alias("credit")))
+    own = hits.select("qid", "term_ix", "doc_id", F.explode(near).alias("x")).select("qid", "term_ix", "doc_id", "x.*")
+    own = own.join(sizes, "doc_id").where((F.col("chunk") >= 0) & (F.col("chunk") < F.col("n_chunks")))
+    return own.groupBy("qid", "term_ix", "doc_id", "chunk").agg(F.max("phi").alias("phi"), F.max("credit").alias("credit"))
+
+
 def fused(cred: DataFrame, tie: float = C.TIE_WEIGHT, sem_weight: float = C.SEM_WEIGHT) -> DataFrame:
     """cred (qid, doc_id, chunk, gid, cred, nbcov, sem, total_weight) with score; only positive ones stay."""
     score = F.col("cred") + tie * F.coalesce("nbcov", F.lit(0.0)) / F.col("total_weight") + sem_weight * F.coalesce("sem", F.lit(0.0))

@@ -268,16 +268,15 @@ def hit_at_k(s, d):
     return h.agg(F.count("*").alias("n"), *(F.round(F.avg(f"h{k}"), 6).alias(f"hit{k}") for k in (1, 3, 10)))
 
 
-@query("neighbour_credit", f"with {TERMS}, w as (select qid, term_ix, weight, pieces from terms where len(string_split(pieces, '|')) = 1), ch as (select distinct doc_id, ch from ct), p as (select w.qid, term_ix, weight, ch.doc_id, ch.ch, (ct.t is not null)::int::double as phi from w join (select distinct qid, doc_id from w join ct on ct.t = w.pieces) d using (qid) join ch using (doc_id) left join ct on ct.doc_id = ch.doc_id and ct.ch = ch.ch and ct.t = w.pieces), c as (select *, greatest(phi, case when phi < 0.1 then 0.4 * greatest(coalesce(lag(phi) over v, 0), coalesce(lead(phi) over v, 0)) else 0 end) as credit from p window v as (partition by qid, term_ix, doc_id order by ch)) select qid, doc_id, ch as chunk, round(sum(weight * phi), 6) as cov, round(sum(weight * credit), 6) as nbcov from c group by 1, 2, 3 having sum(weight * credit) > 0")
+@query("neighbour_credit", f"with {TERMS}, w as (select qid, term_ix, weight, pieces from terms where len(string_split(pieces, '|')) = 1), sz as (select doc_id, max(ch) as last from ct group by 1), h as (select w.qid, term_ix, weight, doc_id, ch from w join ct on ct.t = w.pieces), x as (select qid, term_ix, weight, doc_id, ch, 1.0 as phi, 1.0 as credit from h union all select qid, term_ix, weight, doc_id, ch - 1, 0, 0.4 from h union all select qid, term_ix, weight, doc_id, ch + 1, 0, 0.4 from h), m as (select qid, term_ix, doc_id, ch, any_value(weight) as weight, max(phi) as phi, max(credit) as credit from x join sz using (doc_id) where ch between 0 and last group by 1, 2, 3, 4) select qid, doc_id, ch as chunk, round(sum(weight * phi), 6) as cov, round(sum(weight * credit), 6) as nbcov from m group by 1, 2, 3")
 def neighbour_credit(s, d):
     own = docs(s, d)
     terms = L.terms(questions(s, d), K.token_df(own), n_chunks(own)).where(F.size("pieces") == 1).select("qid", "term_ix", "weight", F.col("pieces")[0].alias("token"))
-    ch = K.chunks(own)
-    hits = ch.select("doc_id", "chunk", F.explode(F.array_distinct("tokens")).alias("token")).join(F.broadcast(terms) if terms.count() <= C.BROADCAST_ROWS else terms, "token").select("qid", "term_ix", "doc_id", "chunk", F.lit(1.0).alias("one"))
-    pairs = hits.select("qid", "doc_id").distinct()
-    every = pairs.join(ch.select("doc_id", "chunk"), "doc_id").join(terms.select("qid", "term_ix", "weight"), "qid")
-    own = every.join(hits, ["qid", "term_ix", "doc_id", "chunk"], "left").withColumn("phi", F.coalesce("one", F.lit(0.0)))
-    got = R.neighbour_credit(own).groupBy("qid", "doc_id", "chunk").agg(F.sum(F.col("weight") * F.col("phi")).alias("cov"), F.sum(F.col("weight") * F.col("credit")).alias("nbcov")).where("nbcov > 0")
+    small = F.broadcast(terms) if terms.count() <= C.BROADCAST_ROWS else terms
+    ch = K.chunks(own).select("doc_id", "chunk", F.explode(F.array_distinct("tokens")).alias("token"))
+    sizes = own.select("doc_id", F.ceil(F.size(codec.tokenize(F.col("text"))) / 16).alias("n_chunks"))
+    got = R.spread_credit(ch.join(small, "token"), sizes).join(small.select("qid", "term_ix", "weight"), ["qid", "term_ix"])
+    got = got.groupBy("qid", "doc_id", "chunk").agg(F.sum(F.col("weight") * F.col("phi")).alias("cov"), F.sum(F.col("weight") * F.col("credit")).alias("nbcov"))
     return got.select("qid", "doc_id", "chunk", F.round("cov", 6).alias("cov"), F.round("nbcov", 6).alias("nbcov"))
 
 
