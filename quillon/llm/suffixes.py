@@ -22,11 +22,34 @@ LENGTH = 100
 K = 16
 #: Bytes of text that a suffix array is built over at once.
 BATCH = 1 << 20
+#: Bytes of one minimizer's runs beyond which they get no suffix array, as it needs tens of bytes for each.
+CROWDED = 2 << 20
 #: Bytes whose minimizers are found at once; fewer than 2**22, as positions share a word with hashes.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
+#: Strings whose bytes are laid side by side at once to be sorted; those of one two-byte beginning are never parted.
+SIDE_BY_SIDE = 100_000
 POSITION = np.uint64((1 << 22) - 1)
 
 
+def by_beginning(text: np.ndarray, at: np.ndarray, depth: int):
+    """(positions, their strings of `depth` bytes) in the order of the first two bytes, some beginnings at a time."""
+    padded = np.r_[text, np.zeros(depth + 1, np.uint8)]
+    view = np.lib.stride_tricks.sliding_window_view(padded, depth)
+    two = padded[at].astype(np.uint16) << 8 | padded[at + 1]
+    order = np.argsort(two, kind="stable")
+    at, two = at[order], two[order]
+    starts, sizes = runs(two)
+    lo = 0
+    while lo < len(starts):
+        hi, n = lo + 1, int(sizes[lo])
+        while hi < len(starts) and n + sizes[hi] <= SIDE_BY_SIDE:
+            n += int(sizes[hi])
+            hi += 1
+        own = at[starts[lo] : starts[lo] + n]
+        yield own, np.ascontiguousarray(view[own]).view(f"S{depth}").ravel()
+        lo = hi
+
+
 def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffix array of text (uint8), in the order of the suffixes' first `depth` bytes.
 
@@ -41,10 +64,8 @@ def two_stage(text: np.ndarray, depth: int) -> np.ndarray:
     at = np.minimum.accumulate(differs[::-1])[::-1]  # where the run of equal bytes ends
     smaller = text[at].astype(np.int16) < ahead[at]
     direct = np.flatnonzero(smaller)
-    padded = np.r_[text, np.zeros(depth, np.uint8)]
-    view = np.lib.stride_tricks.sliding_window_view(padded, depth)
-    keys = np.ascontiguousarray(view[direct]).view(f"S{depth}").ravel()
-    direct = direct[np.argsort(keys, kind="stable")]
+    del differs, at, ahead
+    direct = np.concatenate([np.zeros(0, np.int64), *(x[np.argsort(keys, kind="stable")] for x, keys in by_beginning(text, direct, depth))])
     first = text[direct]
     begin = np.searchsorted(first, np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -196,12 +217,12 @@ def deal_strings(n_parts: int, length: int):
             for doc, row, t, h, s, m in zip(*(b.column(c).to_pylist() for c in ("doc", "row", "text", "hash", "start", "count"))):
                 text = np.frombuffer(z.decompress(t), np.uint8)
                 h, s, m = np.frombuffer(h, "u8"), np.frombuffer(s, "u4").astype(np.int64), np.frombuffer(m, "u1")
-                for a in range(0, len(h), 50_000):
-                    i, j = s[a : a + 50_000], m[a : a + 50_000]
+                for a in range(0, len(h), 10_000):
+                    i, j = s[a : a + 10_000], m[a : a + 10_000]
                     data = text[ranges(i, j.astype(np.int64) + length - 1)]
-                    got.append((h[a : a + 50_000], np.full(len(i), NULL_ID if doc is None else doc, np.int64), np.full(len(i), row, np.int64), i.astype(np.uint32), j, data))
+                    got.append((h[a : a + 10_000], np.full(len(i), NULL_ID if doc is None else doc, np.int64), np.full(len(i), row, np.int64), i.astype(np.uint32), j, data))
                     size += len(data)
-                    if size > BATCH << 2:
+                    if size > BATCH:
                         yield send(got)
                         got, size = [], 0
             if got:
@@ -210,19 +231,24 @@ def deal_strings(n_parts: int, length: int):
     return work
 
 
-def later_strings(text: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, row: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    """Positions in text of strings that start earlier elsewhere. Run i stands at begin[i] with count[i] strings."""
-    valid = np.full(len(text), -1, np.int64)
-    where = ranges(begin, count)
-    valid[where] = np.repeat(np.arange(len(begin)), count)
+def later_strings(text: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """Positions in text of strings that also start earlier in it. Run i stands at begin[i] with count[i] strings."""
+    valid = np.zeros(len(text), bool)
+    valid[ranges(begin, count)] = True
     order = two_stage(text, length)
-    order = order[valid[order] >= 0]
+    order = order[valid[order]]
     group = np.r_[0, np.cumsum(common_prefixes(text, order, length) < length)]
-    run = valid[order]
-    offset = start[run].astype(np.int64) + order - begin[run]
-    by = np.lexsort((offset, row[run], doc[run], group))
-    later = np.r_[False, group[by][1:] == group[by][:-1]]
-    return order[by[later]]
+    order = order[np.lexsort((order, group))]
+    return order[np.r_[False, group[1:] == group[:-1]]]
+
+
+def later_crowded(text: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """The same for the runs of one minimizer that are too many for a suffix array: their strings alone are sorted."""
+    out = []
+    for at, keys in by_beginning(text, ranges(begin, count), length):
+        order = np.argsort(keys, kind="stable")
+        out.append(at[order[np.r_[False, keys[order][1:] == keys[order][:-1]]]])
+    return np.concatenate(out)
 
 
 def find_repeats(n_parts: int, length: int):
@@ -235,6 +261,7 @@ def find_repeats(n_parts: int, length: int):
                 got[c] += b.column(c).to_pylist()
         h, doc, row, start, count = (np.frombuffer(b"".join(got[c]), t) for c, t in (("hash", "u8"), ("doc", "i8"), ("row", "i8"), ("start", "u4"), ("count", "u1")))
         data = b"".join(got.pop("data"))
+        got.clear()
         count = count.astype(np.int64)
         size = count + length - 1
         at = np.cumsum(size) - size
@@ -244,10 +271,11 @@ def find_repeats(n_parts: int, length: int):
         held = 0
         raw = np.frombuffer(data, np.uint8)
 
-        def solve(leads):
+        def solve(leads, find=later_strings):
+            # runs of a minimizer follow each other by doc, row and start, so earlier in text is earlier in the corpus
             text = raw[ranges(at[leads], size[leads])]
             begin = np.cumsum(size[leads]) - size[leads]
-            found = np.sort(later_strings(text, begin, count[leads], doc[leads], row[leads], start[leads], length))
+            found = np.sort(find(text, begin, count[leads], length))
             if len(found):
                 run = np.searchsorted(begin, found, "right") - 1
                 s, m = runs(found - np.arange(len(found)) + run * (len(text) + length))
@@ -265,7 +293,9 @@ def find_repeats(n_parts: int, length: int):
                 else:
                     seen[key] = i
                     leads.append(i)
-            if len(leads) > 1:
+            if len(leads) > 1 and int(size[leads].sum()) > CROWDED:
+                solve(np.array(leads), later_crowded)
+            elif len(leads) > 1:
                 pending.append(np.array(leads))
                 held += int(size[leads].sum())
                 if held > BATCH:

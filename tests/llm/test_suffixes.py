@@ -56,6 +56,22 @@ def test_against_brute_force(spark, sf):
     assert S.op4_suffix_dedup(df.limit(0)).count() == 0
 
 
+def test_crowded_groups_and_small_pieces():
+    rnd = random.Random(6)
+    runs = [bytes(rnd.choice(b"ab") for _ in range(130)) for _ in range(40)]
+    text = np.frombuffer(b"".join(runs + runs[:9]), np.uint8)
+    begin, count = np.arange(49) * 130, np.full(49, 31)
+    S.SIDE_BY_SIDE, held = 7, S.SIDE_BY_SIDE
+    one, two = (np.sort(f(text, begin, count, 100)) for f in (S.later_strings, S.later_crowded))
+    S.SIDE_BY_SIDE = held
+    seen, want = set(), []
+    for a in (begin[:, None] + np.arange(31)).ravel().tolist():
+        x = text[a : a + 100].tobytes()
+        want += [a] * (x in seen)
+        seen.add(x)
+    assert one.tolist() == two.tolist() == want and len(want) >= 9 * 31
+
+
 def test_segments_and_batches(spark, monkeypatch):
     monkeypatch.setattr(S, "SEGMENT", 500)
     rnd = random.Random(2)
