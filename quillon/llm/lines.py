@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -17,9 +18,12 @@ from .decontaminate import words
 
 #: Lines match at this Jaccard similarity of their word sets: NUM / DEN.
 NUM, DEN = 4, 5
-#: Counters for the words' rarity; words share them by hash, which changes no result, only how selective prefixes are.
-COUNTERS = 1 << 20
-CUTS = 16
+#: Counters of one byte for the words' rarity, in TABLES tables; words share them by hash, which changes no result,
+#: only how selective prefixes are. A word's count is the least of its counters', so where that is one, no other set
+#: has the word.
+COUNTERS = 1 << 24
+TABLES = 2
+CUTS = 64
 #: Bytes of a word's hash.
 WIDE = 6
 NULL_ID = -(1 << 63)
@@ -133,38 +137,57 @@ def merge_lines(batches):
         yield put(1, base + a, doc[x], row[x], line[x], n[y], raw[ranges(at[y], n[y].astype(np.int64))])
 
 
+def slots(token: np.ndarray, table: int) -> np.ndarray:
+    return (mix(token, 7 + table) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
+def counted(token: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """In how many sets each word is at most, up to 255."""
+    return np.minimum(*(t[slots(token, i)] for i, t in enumerate(tables)))
+
+
 def rarity(sets: DataFrame) -> np.ndarray:
-    """In how many sets the words of each counter are, over all sets."""
-    wide = COUNTERS // CUTS
+    """The tables of counters over all sets. They are as large for any corpus."""
+    wide = COUNTERS * TABLES // CUTS
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros((TABLES, COUNTERS), np.uint8)
         for b in batches:
             for t in b.column("tokens").to_pylist():
-                total += np.bincount((widen(t) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(CUTS), pa.int32()), pa.array([total[i * wide : (i + 1) * wide].astype(np.uint32).tobytes() for i in range(CUTS)], pa.binary())], names=["part", "n"])
+                for i, table in enumerate(total):
+                    at, n = np.unique(slots(widen(t), i), return_counts=True)
+                    table[at] = np.minimum(table[at].astype(np.int64) + n, 255)
+        flat = total.ravel()
+        for i in range(CUTS):
+            part = flat[i * wide : (i + 1) * wide]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["part", "n"])
 
     def add(batches):
         total = {}
         for b in batches:
             for p, n in zip(b.column("part").to_pylist(), b.column("n").to_pylist()):
-                total[p] = total.get(p, 0) + np.frombuffer(n, np.uint32).astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype(np.uint32).tobytes() for x in total.values()], pa.binary())], names=["part", "n"])
+                n = np.frombuffer(zlib.decompress(n), np.uint8)
+                total[p] = np.minimum(total[p].astype(np.uint16) + n, 255).astype(np.uint8) if p in total else n
+        for p, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], names=["part", "n"])
 
-    out = np.zeros(COUNTERS, np.uint32)
-    for r in sets.select("tokens").mapInArrow(count, "part int, n binary").repartition(CUTS, "part").mapInArrow(add, "part int, n binary").collect():
-        out[r.part * wide : (r.part + 1) * wide] = np.frombuffer(r.n, np.uint32)
-    return out
+    out = np.zeros(COUNTERS * TABLES, np.uint8)
+    for r in sets.select("tokens").mapInArrow(count, "part int, n binary").repartition(CUTS, "part").mapInArrow(add, "part int, n binary").toLocalIterator():
+        out[r.part * wide : (r.part + 1) * wide] = np.frombuffer(zlib.decompress(r.n), np.uint8)
+    return out.reshape(TABLES, COUNTERS)
 
 
 PREFIX = {"token": "u8", "id": "i8", "doc": "i8", "row": "i8", "line": "u4", "n": "u4", "place": "u4", "low": "u8", "high": "u8"}
 
 
 def prefixes(held, n_parts: int):
-    """Each set under the rarest of its words, as many as a match must share one of, with a bitmap of its words."""
+    """Each set under the rarest of its words, as many as a match must share one of, with a bitmap of its words.
+
+    Words that are certain to be in no other set take their place in the prefix, but are not sent.
+    """
 
     def work(batches):
-        count = held.value
+        tables = held.value
         for b in batches:
             for base, doc, row, line, n, t in zip(*(b.column(c).to_pylist() for c in ("base", "doc", "row", "line", "n", "tokens"))):
                 doc, row, line, n = (np.frombuffer(x, k) for x, k in ((doc, "i8"), (row, "i8"), (line, "u4"), (n, "u4")))
@@ -174,9 +197,11 @@ def prefixes(held, n_parts: int):
                 side = (mix(token, 5) >> np.uint64(6) & np.uint64(1)).astype(bool)
                 first = np.cumsum(n) - n
                 low, high = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), first) for x in (side, ~side))
-                order = np.lexsort((token, count[(token % np.uint64(COUNTERS)).astype(np.int64)], own))
+                count = counted(token, tables)
+                order = np.lexsort((token, count, own))
                 place = np.arange(len(token)) - np.repeat(first, n)
                 keep = place < np.repeat(n - needed(n) + 1, n)
+                keep &= count[order] > 1  # a word of one set alone brings none together
                 token, own, place = token[order][keep], own[keep], place[keep]
                 part = (mix(token, 4) % np.uint64(n_parts)).astype(np.int32)
                 yield packed(part, token=token, id=base + own, doc=doc[own], row=row[own], line=line[own], n=n[own].astype(np.uint32), place=place.astype(np.uint32), low=low[own], high=high[own])
