@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows are worked through in slices of about this many bytes of text, so that no batch needs much memory.
 SLICE_BYTES = 4 << 20
@@ -37,6 +38,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A list of rows to leave out is broadcast up to so many ids of 8 bytes; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 250_000
+
+
+def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key is in gone (key). Rows with a null key stay."""
+    gone = stored(gone.select(key).distinct(), "gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*df.columns)
+
+
 def parts(df: DataFrame) -> int:
     """Partitions for a packed shuffle: as many as shuffles of this session have."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, texts
+from .common import stored, texts, without
 
 #: Bytes of benchmark text that one pass over the index answers; larger benchmarks take further passes.
 BLOCK_BYTES = 16 << 20
@@ -235,5 +235,4 @@ def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """docs without the rows in which a window of the benchmark occurs. Rows with a null doc_id stay if clean."""
     ids = docs.withColumn("__row", F.monotonically_increasing_id())
-    hit = contamination(ids, benchmark, width, key="__row").where("n_hit > 0").select("__row")
-    return ids.join(hit, "__row", "left_anti").select(*docs.columns)
+    return without(ids, contamination(ids, benchmark, width, key="__row").where("n_hit > 0"), "__row").select(*docs.columns)

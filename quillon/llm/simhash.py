@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, packed, packed_schema, parts, runs, stored, texts, unpacked
+from .common import mix, packed, packed_schema, parts, runs, stored, texts, unpacked, without
 from .components import components, forest
 
 BITS = 64
@@ -151,5 +151,4 @@ def deduplicated(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFram
     Rows with a null doc_id stay. Of repeated rows of one doc_id all stay or all go.
     """
     found = near_duplicates(docs, distance, width)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, found.where("doc_id <> component_id"), "doc_id")
