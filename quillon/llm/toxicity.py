@@ -68,7 +68,7 @@ def features(compressors, documents: list[bytes]) -> np.ndarray:
     for i, x in enumerate(own):
         if x:
             s = save[at : at + len(x)]
-            hits = int((s >= 2).sum())
+            hits = int((s >= 1).sum())
             out[i] = min(4.0, max(0, int(s.max()))), hits / len(x), math.log1p(hits)
             at += len(x)
     return out
@@ -93,8 +93,8 @@ def grams(text: bytes) -> set[bytes]:
     return {w[:n] for x in set(words(text)) for w in (b" " + x + b" ",) for n in GRAMS if len(w) >= n}
 
 
-def contrast(of: Counter, n: int, against: Counter, m: int, most: int = 2048) -> bytes:
-    """Dictionary content: the grams that mark documents of one class, most telling last."""
+def contrast(of: Counter, n: int, against: Counter, m: int, most: int = 2048) -> list[bytes]:
+    """The grams that mark documents of one class, most telling last."""
 
     def z(g):
         x, y = of[g], against[g]
@@ -108,16 +108,24 @@ def contrast(of: Counter, n: int, against: Counter, m: int, most: int = 2048) ->
             kept.append(g)
             if sum(map(len, kept)) > most:
                 break
-    return GAP + GAP.join(reversed(kept)) + GAP
+    return kept[::-1]
+
+
+def content(own: list[bytes], other: list[bytes]) -> bytes:
+    """A dictionary of one class's grams, and of the other's parts: what matches a gram in part saves as much by
+    either dictionary, so only whole grams tell them apart."""
+    parts = [p for g in other if len(g) > GRAMS[0] for p in (g[:-1], g[1:])]
+    return GAP + GAP.join([*parts, *own]) + GAP
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
-    """The dictionaries from one half of the samples' documents, thresholds calibrated on all. No labels: score 0.5 at most."""
+    """Dictionaries and calibration from the sampled documents. Without labels of both kinds every score is low."""
     toxic, ordinary = distinct_documents(toxic, SAMPLE[1]), distinct_documents(ordinary, SAMPLE[0])
     if not toxic or not ordinary:
         return Model(GAP, GAP, [-3.0, 0.0, 0.0, 0.0])
     a, b = (Counter(g for t in x for g in grams(t)) for x in (toxic, ordinary))
-    model = Model(contrast(a, len(toxic), b, len(ordinary)), contrast(b, len(ordinary), a, len(toxic)), [])
+    marks, plain = contrast(a, len(toxic), b, len(ordinary)), contrast(b, len(ordinary), a, len(toxic))
+    model = Model(content(marks, plain), content(plain, marks), [])
     both = model.compressors()
     x = np.vstack([features(both, toxic), features(both, ordinary)])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
