@@ -8,6 +8,7 @@ import re
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -18,8 +19,8 @@ BEFORE_WORD = re.compile(r"(?= \S)")
 ODD_SPACE = re.compile(r" (?:\s|$)")
 #: Characters on whose class (white space or not) regex engines differ; texts with them are encoded whole.
 CONTROLS = re.compile("[\x1c-\x1f\x85᠎​]")
-#: Pieces held in a worker's memory; a full cache starts anew, which changes no result.
-HELD = 300_000
+#: Pieces held in a worker's memory during a task; a full cache starts anew, which changes no result.
+HELD = 200_000
 
 
 class Encoder:
@@ -52,6 +53,11 @@ class Encoder:
             got = self.held[piece] = np.array(ids, "<u4").tobytes()
         return got
 
+    def forget(self) -> None:
+        """Frees the cache at the end of a task: workers live on and may serve other operators next."""
+        self.held.clear()
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str) -> bytes:
         """Token ids as little-endian unsigned 32-bit integers."""
         own = self.pieces(text)

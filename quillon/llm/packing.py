@@ -42,6 +42,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
                     start += length
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())))], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
+        encoder(path).forget()
 
     rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
     return rows.mapInArrow(work, f"doc_id {kind}, {PIECES}")

@@ -122,5 +122,6 @@ def counts(docs: DataFrame, path: str | None = None, edits=EDITS) -> DataFrame:
                 out.append((*before, own.n_chars, own.n_tokens, own.encoded - first))
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "n_chars", "n_tokens", "edited_chars", "edited_tokens", "reencoded_chars"])
+        encoder(path).forget()
 
     return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, n_chars long, n_tokens long, edited_chars long, edited_tokens long, reencoded_chars long")
