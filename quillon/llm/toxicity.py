@@ -24,25 +24,29 @@ WINDOW = 12
 #: Ends every window and both dictionaries, so that each window has a match and lengths differ by content alone.
 END = bytes(range(1, 32))
 GAP = b"\x7f"
-#: Word beginnings of 5 to 10 bytes, with the space before them, are candidates for a dictionary.
-GRAMS = range(5, 11)
+#: Word beginnings of so many bytes, with the space before them, are candidates. Each length has its own pair of
+#: dictionaries, whose shortest match is that length: a match is a whole gram, never a part of one.
+GRAMS = range(5, 8)
 LEAST_Z, LEAST_RATIO, LEAST_DOCS = 5.0, 5.0, 3
+#: Added to the number of words and of windows where shares are taken, so that a short text's count for less.
+FEW_WORDS, FEW_WINDOWS = 12, 2
 
 
 @dataclass
 class Model:
-    toxic: bytes
-    ordinary: bytes
+    """Dictionaries of toxic and of ordinary text for each length in GRAMS, and the calibration's weights."""
+
+    contents: list[tuple[bytes, bytes]]
     weights: list[float]
 
     def compressors(self):
-        return [_compressor(self.toxic), _compressor(self.ordinary)]
+        return [tuple(_compressor(c, n) for c in pair) for n, pair in zip(GRAMS, self.contents)]
 
 
-def _compressor(content: bytes):
+def _compressor(content: bytes, least: int):
     data = zstandard.ZstdCompressionDict(content + END, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     # literals stay as they are (fast strategy with a target length), so a length tells of matches only
-    own = zstandard.ZstdCompressionParameters.from_level(1, min_match=5, strategy=zstandard.STRATEGY_FAST, target_length=1, window_log=12, hash_log=12, write_content_size=False, write_checksum=False, write_dict_id=False)
+    own = zstandard.ZstdCompressionParameters.from_level(1, min_match=least, strategy=zstandard.STRATEGY_FAST, target_length=1, window_log=17, hash_log=14, write_content_size=False, write_checksum=False, write_dict_id=False)
     data.precompute_compress(compression_params=own)
     return zstandard.ZstdCompressor(compression_params=own, dict_data=data)
 
@@ -58,19 +62,20 @@ def lengths(compressor, items: list[bytes]) -> np.ndarray:
 
 
 def features(compressors, documents: list[bytes]) -> np.ndarray:
-    """For each document: its windows' largest saving by the toxic dictionary, their share and number that save."""
+    """For each document the shares of its windows that some toxic and some ordinary dictionary saves bytes on.
+
+    They do not grow with a text's length.
+    """
     own = [windows(t) for t in documents]
     flat = [w for x in own for w in x]
+    out = np.zeros((len(documents), 2))
     if not flat:
-        return np.zeros((len(documents), 3))
-    toxic, ordinary = (lengths(c, flat) for c in compressors)
-    save, out, at = ordinary - toxic, np.zeros((len(documents), 3)), 0
+        return out
+    save, at = np.stack([lengths(o, flat) - lengths(t, flat) for t, o in compressors]), 0
+    toxic, ordinary = (save >= 1).any(0), (save <= -1).any(0)
     for i, x in enumerate(own):
-        if x:
-            s = save[at : at + len(x)]
-            hits = int((s >= 1).sum())
-            out[i] = min(4.0, max(0, int(s.max()))), hits / len(x), math.log1p(hits)
-            at += len(x)
+        out[i] = [y[at : at + len(x)].sum() / (len(x) + FEW_WINDOWS) for y in (toxic, ordinary)]
+        at += len(x)
     return out
 
 
@@ -89,57 +94,63 @@ def distinct_documents(documents: list[bytes], most: int) -> list[bytes]:
     return out
 
 
-def grams(text: bytes) -> set[bytes]:
-    return {w[:n] for x in set(words(text)) for w in (b" " + x + b" ",) for n in GRAMS if len(w) >= n}
+class Rates:
+    """Of each gram over documents: sum and sum of squares of its share of a document's words, and the documents."""
+
+    def __init__(self, documents: list[bytes]):
+        self.n, self.sum, self.squares, self.documents = len(documents), Counter(), Counter(), Counter()
+        for t in documents:
+            w = words(t)
+            own = Counter()
+            for x, k in Counter(b" " + x + b" " for x in w).items():
+                for n in GRAMS:
+                    if len(x) >= n:
+                        own[x[:n]] += k
+            for g, k in own.items():
+                share = k / (len(w) + FEW_WORDS)
+                self.sum[g] += share
+                self.squares[g] += share * share
+                self.documents[g] += 1
 
 
-def contrast(of: Counter, n: int, against: Counter, m: int, most: int = 2048) -> list[bytes]:
-    """The grams that mark documents of one class, most telling last."""
+def contrast(of: Rates, against: Rates) -> list[bytes]:
+    """All grams that mark documents of one class, by how often they occur in them."""
+    n, m = of.n, against.n
 
     def z(g):
-        x, y = of[g], against[g]
-        p = (x + y) / (n + m)
-        return (x / n - y / m) / math.sqrt(p * (1 - p) * (1 / n + 1 / m) + 1e-12)
+        p = (of.sum[g] + against.sum[g]) / (n + m)
+        v = (of.squares[g] + against.squares[g]) / (n + m) - p * p
+        return (of.sum[g] / n - against.sum[g] / m) / math.sqrt(v * (1 / n + 1 / m) + 1e-12)
 
-    least = max(LEAST_DOCS, 0.02 * n)
-    kept: list[bytes] = []
-    for g in sorted((g for g in of if of[g] >= least and of[g] / n > LEAST_RATIO * (against[g] + 0.5) / m and z(g) > LEAST_Z), key=lambda g: (-z(g), len(g), g)):
-        if not any(k.startswith(g) or g.startswith(k) for k in kept):
-            kept.append(g)
-            if sum(map(len, kept)) > most:
-                break
-    return kept[::-1]
+    return sorted(g for g, k in of.documents.items() if k >= LEAST_DOCS and of.sum[g] / n > LEAST_RATIO * against.sum[g] / m and z(g) > LEAST_Z)
 
 
-def content(own: list[bytes], other: list[bytes]) -> bytes:
-    """A dictionary of one class's grams, and of the other's parts: what matches a gram in part saves as much by
-    either dictionary, so only whole grams tell them apart."""
-    parts = [p for g in other if len(g) > GRAMS[0] for p in (g[:-1], g[1:])]
-    return GAP + GAP.join([*parts, *own]) + GAP
+def content(marks: list[bytes], n: int) -> bytes:
+    return GAP + GAP.join(g for g in marks if len(g) == n) + GAP
 
 
 def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     """Dictionaries and calibration from the sampled documents. Without labels of both kinds every score is low."""
     toxic, ordinary = distinct_documents(toxic, SAMPLE[1]), distinct_documents(ordinary, SAMPLE[0])
     if not toxic or not ordinary:
-        return Model(GAP, GAP, [-3.0, 0.0, 0.0, 0.0])
-    a, b = (Counter(g for t in x for g in grams(t)) for x in (toxic, ordinary))
-    marks, plain = contrast(a, len(toxic), b, len(ordinary)), contrast(b, len(ordinary), a, len(toxic))
-    model = Model(content(marks, plain), content(plain, marks), [])
+        return Model([(GAP, GAP)] * len(GRAMS), [-3.0, 0.0, 0.0])
+    a, b = Rates(toxic), Rates(ordinary)
+    marks, plain = contrast(a, b), contrast(b, a)
+    model = Model([(content(marks, n), content(plain, n)) for n in GRAMS], [])
     both = model.compressors()
     x = np.vstack([features(both, toxic), features(both, ordinary)])
     y = np.r_[np.ones(len(toxic)), np.zeros(len(ordinary))]
     x1 = np.c_[np.ones(len(x)), x]
     balance = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w = np.zeros(4)
+    w = np.zeros(x1.shape[1])
     for _ in range(50):  # Newton's method with a small ridge
         p = 1 / (1 + np.exp(-np.clip(x1 @ w, -30, 30)))
-        h = (x1 * (balance * p * (1 - p))[:, None]).T @ x1 + 1e-4 * np.eye(4)
+        h = (x1 * (balance * p * (1 - p))[:, None]).T @ x1 + 1e-4 * np.eye(len(w))
         step = np.linalg.solve(h, x1.T @ (balance * (y - p)) - 1e-4 * w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(model.toxic, model.ordinary, w.tolist())
+    return Model(model.contents, w.tolist())
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: dict[int, int] = SAMPLE) -> Model:

@@ -17,6 +17,15 @@ def test_held_out_accuracy(spark):
     assert sum(pos) / len(pos) > 0.6 and sum(neg) / len(neg) < 0.08
 
 
+def test_held_out_accuracy_in_each_language(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    got = T.op9_toxicity(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    rate = lambda t, lang=None: (x := [r.predicted for r in got if r.toxic == t and lang in (None, r.lang)]) and sum(x) / len(x)
+    assert rate(1) > 0.9 and rate(0) < 0.05
+    assert all(rate(1, lang) > 0.8 and rate(0, lang) < 0.05 for lang in ("de", "en", "es", "fr"))
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (2, "word " * 50000, "c"), (2, "w", "d")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1), (2, None, 0)], "doc_id long, toxic int, quality int")
