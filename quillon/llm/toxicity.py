@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import texts
@@ -18,8 +18,8 @@ from .decontaminate import words
 
 #: At most so many labelled documents of each class are sampled for the dictionaries and the calibration, by hash.
 SAMPLE = {1: 1500, 0: 6000}
-#: And at most so many bytes of each.
-SAMPLE_BYTES = 16384
+#: And whole texts of each class in that order, until they have so many bytes.
+SAMPLE_BYTES = {1: 24 << 20, 0: 48 << 20}
 WINDOW = 12
 #: Ends every window and both dictionaries, so that each window has a match and lengths differ by content alone.
 END = bytes(range(1, 32))
@@ -153,14 +153,16 @@ def fit(toxic: list[bytes], ordinary: list[bytes]) -> Model:
     return Model(model.contents, w.tolist())
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: dict[int, int] = SAMPLE) -> Model:
-    """A model from a bounded sample of the labelled rows that are not held out (see held_out)."""
+def learn(docs: DataFrame, labels: DataFrame, bound: dict[int, int] = SAMPLE, size: dict[int, int] = SAMPLE_BYTES) -> Model:
+    """A model from a bounded sample of whole labelled texts that are not held out (see held_out)."""
     known = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out("doc_id"))
-    own = docs.where("text is not null").select("doc_id", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("t"))
+    own = docs.where("text is not null").select("doc_id", F.col("text").cast("binary").alias("t"))
+    before = Window.orderBy("h", "doc_id", "t").rowsBetween(Window.unboundedPreceding, -1)
     took = []
     for k in (1, 0):
         ids = known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * bound[k]).select("doc_id")
-        rows = own.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "t").limit(2 * bound[k]).select("t")
+        rows = own.join(F.broadcast(ids), "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "t").limit(2 * bound[k])
+        rows = rows.withColumn("bytes", F.coalesce(F.sum(F.octet_length("t")).over(before), F.lit(0))).where(F.col("bytes") < size[k]).orderBy("h", "doc_id", "t").select("t")
         took.append([bytes(r.t) for r in rows.toLocalIterator()])
     return fit(*took)
 

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -41,3 +42,22 @@ def test_dictionaries_part_windows():
     m = T.fit(toxic, plain)
     x = T.features(m.compressors(), [b"what a slur this is", b"what a note this is"])
     assert x[0, 0] > 0 and x[1, 0] <= 0
+
+
+def test_whole_texts_are_learnt_from(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    plain = lambda i: " ".join(f"w{x}x" for x in random.Random(i).choices(range(9973), k=3600))
+    end = " and such a grumbling slur" * 40
+    docs = spark.createDataFrame([(i, plain(i) + (end if i % 4 == 0 else " and such a friendly note" * 40)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in ids], "doc_id long, toxic int")
+    m = T.learn(docs, labels)
+    assert b" slur " in m.contents[1][0] and b" note " in m.contents[1][1]
+    took = {}
+    fit, T.fit = T.fit, lambda *x: took.update(enumerate(x))
+    try:
+        T.learn(docs, labels, size={1: 1, 0: 60000})
+    finally:
+        T.fit = fit
+    assert [len(took[0]), len(took[1])] == [1, 3] and all(len(t) > 16384 for x in took.values() for t in x)
+    x = T.features(m.compressors(), [b"such a grumbling slur " * n for n in (600, 6000)])
+    assert abs(x[0, 0] - x[1, 0]) < 0.01
