@@ -1,7 +1,7 @@
 """The engine's queries over whole tables, each with the SQL that checks it.
 
-Vector queries run the operators with 64-bit hashed vectors, whose bits SQL can recompute for the whole corpus; the
-operators' default of 16,384 composed bits is held against a plain specification in the tests.
+Vector queries with SQL run the operators with 64-bit hashed vectors, whose bits SQL can recompute for the whole corpus;
+those without SQL run with the operators' 16,384 composed bits, held against a plain specification in the tests.
 """
 
 from __future__ import annotations
@@ -197,21 +197,21 @@ COV = f""", tp as (select qid, term_ix, weight, unnest(string_split(pieces, '|')
 def cov_topk(s, d):
     """Coverage of the benchmark's questions; its SQL over all bags is too slow, a test holds it against a plain one."""
     own = docs(s, d)
-    got = L.retrieve_coverage(L.index(own, DIM, composed=False), capped_terms(s, d, own), 3, dim=DIM, composed=False)
+    got = L.retrieve_coverage(L.index(own), capped_terms(s, d, own), 3)
     return got.select("qid", "rk", "doc_id", "chunk", "gid", F.round("cov", 6).alias("cov"))
 
 
 @query("cov_windows", None)
 def cov_windows(s, d):
     own = docs(s, d)
-    return L.retrieve_windows(L.index(own, DIM, composed=False), capped_terms(s, d, own), 3, dim=DIM, composed=False).select("qid", "rk", "doc_id", "chunk", "gid", F.round("score", 6).alias("score"))
+    return L.retrieve_windows(L.index(own), capped_terms(s, d, own), 3).select("qid", "rk", "doc_id", "chunk", "gid", F.round("score", 6).alias("score"))
 
 
 @query("graded_topk", None)
 def graded_topk(s, d):
     own = docs(s, d)
     n = n_chunks(own)
-    return L.retrieve_graded(L.index(own, DIM, composed=False), questions(s, d), L.terms(questions(s, d), K.token_df(own), n), n, 3, dim=DIM, composed=False).select("qid", "rk", "doc_id", "chunk", "gid", "ham")
+    return L.retrieve_graded(L.index(own), questions(s, d), L.terms(questions(s, d), K.token_df(own), n), n, 3).select("qid", "rk", "doc_id", "chunk", "gid", "ham")
 
 
 @query("composed_bag_topk", None)

@@ -101,3 +101,60 @@ def test_semantic_windows_and_scores(spark):
     assert wins.count() == keyed.count() and all(abs(r.sem - math.cos(math.pi * r.ham / 256)) < 1e-12 for r in wins.collect())
     top = S.abstains(wins, tau=1.0).first()
     assert top.abstain == (top.sem_top < 1.0)
+
+
+def test_rankers_with_production_vectors(spark, tmp_path):
+    """cov_topk, cov_windows, graded_topk and composed_bag_topk against straight-line code, at 16,384 composed bits."""
+    from quillon import queries as Q
+
+    docs, qs = corpus(spark)
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    qs.selectExpr("qid as item_id", "question as text").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    df, n = K.token_df(docs), K.chunks(docs).count()
+    chunks = [(r.doc_id, r.chunk, list(r.tokens)) for r in K.chunks(docs).orderBy("doc_id", "chunk").collect()]
+    vector = lambda t: hv.unpack([hv.compose(t.encode(), C.DIM)])[0].astype(np.int64)
+    tie = hv.unpack([hv.stream(b"TIE", 0, C.DIM)])[0].astype(np.int64)
+    majority = lambda ts: (lambda v: np.where(2 * v == len(ts), tie, 2 * v > len(ts)).astype(np.int64))(sum(vector(t) for t in ts))
+    bags = np.stack([majority(t) for *_, t in chunks])
+    found = L.terms(qs, df, n)
+    plan = L.prepared(found, most=1 << 20)
+    rows = {name: [tuple(r) for r in Q.Q[name](spark, str(tmp_path)).orderBy("qid", "rk").collect()] for name in ("cov_topk", "cov_windows", "graded_topk", "composed_bag_topk")}
+    near = lambda a, b: [x[:5] for x in a] == [x[:5] for x in b] and np.allclose([x[5] for x in a], [x[5] for x in b], atol=2e-6)
+    ranked = lambda qid, score, order: [(qid, i + 1, *chunks[g][:2], g, score[g]) for i, g in enumerate(order)]
+    want = {name: [] for name in rows}
+    for q in plan:
+        phi = {}
+        for t in {p for x in q.pieces for p in x}:
+            z = (C.DIM / 2 - (bags ^ vector(t)).sum(1)) / (C.DIM**0.5 / 2)
+            phi[t] = np.clip(np.minimum(z / C.RAW_SCALE, (z - z.mean()) / (z.std() + 1e-9) / C.WHITE_SCALE), 0, 1)
+        cov = sum(w * np.min([phi[p] for p in x], axis=0) for w, x in zip(q.weights, q.pieces))
+        want["cov_topk"] += ranked(q.qid, cov, [g for g in sorted(range(n), key=lambda g: (-cov[g], g)) if cov[g] > 0][:3])
+        sites = []
+        for s in range(n - C.WINDOW + 1):
+            if chunks[s][0] == chunks[s + C.WINDOW - 1][0]:
+                score = sum(w * min(phi[p][s : s + C.WINDOW].max() for p in x) for w, x in zip(q.weights, q.pieces))
+                sites.append((score + 1e-6 * cov[s : s + C.WINDOW].sum(), s, score))
+        picked = []
+        for o, s, score in sorted(sites, key=lambda x: (-x[0], x[1])):
+            if score > 0 and all(chunks[s][0] != chunks[p][0] or abs(s - p) > 3 for p, _ in picked):
+                picked.append((s, score))
+        best = {}
+        for s, score in picked[: C.TOP_WINDOWS]:
+            for g in range(s, s + C.WINDOW):
+                best[g] = max(best.get(g, 0), score + cov[g])
+        want["cov_windows"] += ranked(q.qid, best, sorted(best, key=lambda g: (-best[g], g))[:3])
+    own = {r.qid: [] for r in qs.collect()}
+    for r in found.orderBy("qid", "term_ix").collect():
+        own[r.qid] += [(t, int(min(C.GRADED_CAP, max(1, round(4 * math.log(n / r.min_df)))))) for t in r.pieces]
+    tokens = {r.qid: list(r.t) for r in qs.select("qid", L.tokenize("question").alias("t")).collect()}
+    share = {r.token: r.df / n for r in df.collect()}
+    for qid in sorted(own):
+        votes = sum(w * (2 * vector(t) - 1) for t, w in own[qid] or [(t, 1) for t in tokens[qid]])
+        ham = ((bags ^ (votes > 0)) * np.minimum(np.abs(votes), 15)).sum(1)
+        want["graded_topk"] += ranked(qid, ham, sorted(range(n), key=lambda g: (ham[g], g))[:3])
+        rare = [t for t in tokens[qid] if share.get(t, 0) <= C.DF_MAX] or tokens[qid]
+        ham = (bags ^ majority(rare)).sum(1)
+        want["composed_bag_topk"] += ranked(qid, ham, sorted(range(n), key=lambda g: (ham[g], g))[:3])
+    for name, got in rows.items():
+        shape = lambda r: (r[0], r[1], r[2], r[3], r[4], float(r[5]))
+        assert want[name] and near([shape(r) for r in got], [shape(r) for r in want[name]]), name
