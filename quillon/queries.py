@@ -319,12 +319,16 @@ def gold_chunks(s, d):
     """Chunks that hold a benchmark passage, by the first place where it stands in a document."""
     own = docs(s, d)
     q = questions(s, d)
-    # a passage's first tokens are looked up by an equi-join; the text itself decides
-    first = lambda c: F.slice(F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != ""), 2, 4)
-    words = F.filter(F.split(F.col("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    keyed = own.select("doc_id", "text", words.alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(4)), " "))))).alias("k"))
-    qk = q.withColumn("k", F.xxhash64(F.array_join(first(F.col("question")), " ")))
+    # a passage's first four inner words are looked up by an equi-join (its first and last may be parts of longer
+    # words), a passage with fewer of them in every text; the text itself decides
+    split = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    keyed = own.select("doc_id", "text", split(F.col("text")).alias("w")).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(4)), " "))))).alias("k"))
+    w = q.withColumn("w", split(F.col("question")))
+    qk = w.where(F.size("w") >= 6).select("qid", "question", F.xxhash64(F.array_join(F.slice("w", 2, 4), " ")).alias("k"))
     hit = keyed.join(F.broadcast(qk) if qk.count() <= C.BROADCAST_ROWS else qk, "k").where(F.contains("text", F.col("question"))).select("qid", "question", "doc_id", "text")
+    short = w.where(F.size("w") < 6).select("qid", "question")
+    if n := short.count():
+        hit = hit.unionByName(own.join(F.broadcast(short) if n <= C.BROADCAST_ROWS else short, F.contains("text", F.col("question"))).select("qid", "question", "doc_id", "text"))
     hit = hit.withColumn("a", F.expr("locate(question, text)") - 1).withColumn("b", F.col("a") + F.char_length("question"))
     t = hit.select("qid", "doc_id", "a", "b", F.posexplode(codec.tokenize(F.col("text"))).alias("pos", "t"))
     t = t.withColumn("e", F.sum(F.char_length("t")).over(Window.partitionBy("qid", "doc_id").orderBy("pos")))

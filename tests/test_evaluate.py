@@ -39,3 +39,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert "Beavers" in capsys.readouterr().out
     assert main(["--store", store, "--collection", "nope", "stats"], spark) == 2
     assert main(["--store", store, "remove", "a.txt"], spark) == 0
+
+
+def test_gold_of_passages_without_whole_inner_words(spark, tmp_path):
+    from quillon import queries as Q
+
+    texts = [(1, "one two three fourfold fives and more " * 9 + "sixth and seventh"), (2, "one"), (3, "Alone, one two three four five"), (4, None)]
+    asked = [(1, "ne two three fourfold five"), (2, "one"), (3, "th and sev"), (4, "one two three fourfold fives and mo"), (5, "absent"), (6, ", one two three four five")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.qid, r.doc_id) for r in Q.Q["gold_chunks"](spark, str(tmp_path)).collect()}
+    assert got == {(i, d) for i, a in asked for d, t in texts if t and a in t} and len(got) == 7
