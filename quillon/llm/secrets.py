@@ -14,11 +14,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.A)  # a shorter run fails as a whol
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-#: A name, an assignment sign and the first operand; names may be quoted keys, dotted or subscripted.
+#: A name, an assignment sign and the first operand; names may be quoted keys, dotted or subscripted. A run of name
+#: characters is tried once, from its first letter, so that names may be of any length.
 PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{0,127})(?P=q)[ \t]*(?::=|=>|(?<![=!<>])=(?!=)|:(?!:|//))[ \t]*(?=\S)""", re.A
+    r"""(?:(?<![A-Za-z0-9_.\-])[0-9.\-]*+|(?=["']))(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=q)[ \t]*(?P<sign>:=|=>|(?<![=!<>])=(?!=)|:(?!:|//))[ \t]*(?=\S)""", re.A
 )
-OPERAND = re.compile(r""""([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'|([A-Za-z0-9+/_.=@#$%^&*~!-]+)""", re.A)
+OPERAND = re.compile(r""""([^"\\\n]*(?:\\.[^"\\\n]*)*)"|'([^'\\\n]*(?:\\.[^'\\\n]*)*)'|([A-Za-z_][A-Za-z0-9_.]*+(?=\+[ \t]*["'])|[A-Za-z0-9+/_.=@#$%^&*~!-]+)""", re.A)
+#: What stands between a name's colon and the sign of the assignment: a type, as in `name: str = "..."`.
+TYPE = re.compile(r"""[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\[\]"'\n=]*+\])*+(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\[\]"'\n=]*+\])*+)*+\??(?:[ \t]++=(?![=>])[ \t]*+(?=["'A-Za-z0-9_])|=(?![=>])[ \t]*+(?=["']))""", re.A)
 PLUS = re.compile(r"[ \t]*(?:\+|\.\.|\.)[ \t]*(?=[\"'A-Za-z_])")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 
@@ -47,6 +50,8 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str]]]:
     out, at = [], 0
     while m := PAIR.search(text, at):
         at, literals, names = m.end(), [], []
+        if m["sign"] == ":" and (t := TYPE.match(text, at)):
+            at = t.end()
         while x := OPERAND.match(text, at):
             group = next(i for i in (1, 2, 3) if x[i] is not None)
             bare = group == 3
@@ -55,7 +60,7 @@ def pairs(text: str) -> list[tuple[str, list[tuple[int, int, str]], list[str]]]:
             if x[group]:
                 literals.append((x.start(group), x.end(group), x[group]))
             at = x.end()
-            if bare or not (p := PLUS.match(text, at)):
+            if not (p := PLUS.match(text, at)):
                 break
             at = p.end()
         out.append((m["name"], literals, names))

@@ -38,3 +38,23 @@ def test_edges(spark):
     rows = secrets(df).collect()
     assert len(rows) == 4 and rows[0].spans == "" and rows[2] == rows[3]
     assert secrets(df.limit(0)).count() == 0
+
+
+def test_values_after_operands_and_types():
+    for text, value in (
+        ('API_SECRET = BASE + "Zx9-pQ7-mmm"', "Zx9-pQ7-mmm"),
+        ('API_SECRET = BASE + other + "Zx9-pQ7-mmm"', "Zx9-pQ7-mmm"),
+        ('API_SECRET=BASE+"Zx9-pQ7-mmm"', "Zx9-pQ7-mmm"),
+        ('{b"9", b"db_pwd": "Hunter22!x"}', "Hunter22!x"),
+        ('db_pwd: str = "Hunter22!x"', "Hunter22!x"),
+        ('const authToken: string = "aB3$xyz9Q";', "aB3$xyz9Q"),
+        ('db_pwd: Optional[str] = "Hunter22!x"', "Hunter22!x"),
+        ('db_pwd: str | None = "Hunter22!x"', "Hunter22!x"),
+        ("db_secret: QUJDzz9=,", "QUJDzz9="),
+        ("a" * 300 + '_pwd = "Hunter22!x"', "Hunter22!x"),
+        ("api_pwd_" + "a" * 300 + ' = "Hunter22!x"', "Hunter22!x"),
+    ):
+        assert value in {text[a:b] for a, k, b in scan(text) if KINDS[k] == "literal"}, text
+    flow = 'BASE = "Zx9-pQ7-mmm"\nother = 1\napi_secret: str = other + BASE\n'
+    assert "Zx9-pQ7-mmm" in {flow[a:b] for a, k, b in scan(flow) if KINDS[k] == "literal"}
+    assert scan("a1." * 300_000 + " x: y") == []
