@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Words of a k-mer. Its inner substrings are single words: it is kept if the smallest hash lies at an edge.
 K = 5
-#: Smallest hashes of kept k-mers in a fingerprint.
-SKETCH = 64
 #: Ids of neighbouring documents that are sorted together.
 BUCKET = 1024
 #: The buckets' largest ids are broadcast up to so many (16 bytes each).
@@ -35,12 +33,12 @@ def syncmers(h: Column) -> Column:
 
 
 def sketch(h: Column) -> Column:
-    """The smallest distinct syncmer hashes, sorted."""
+    """All distinct syncmer hashes, sorted: it grows with the text."""
     edge = lambda i: F.least(F.get(h, i), F.get(h, i + 4)) <= F.least(F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3))
     at = F.filter(F.sequence(F.lit(0), F.size(h) - K), edge)
     kept = F.transform(at, lambda i: F.xxhash64(*(F.get(h, i + j) for j in range(K))))
     own = F.when(F.size(h) >= K, kept).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
-    return F.slice(F.sort_array(F.array_distinct(own)), 1, SKETCH)
+    return F.sort_array(F.array_distinct(own))
 
 
 def as_text(s: Column) -> Column:
@@ -48,9 +46,9 @@ def as_text(s: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of the syncmer sets: how many of the smallest hashes of both are in both."""
-    u = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.array_intersect(a, b), u)) / F.size(u).cast("double"))
+    """Jaccard likeness of the syncmer sets."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both).cast("double"))
 
 
 def anchors(docs: DataFrame) -> DataFrame:

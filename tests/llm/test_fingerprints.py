@@ -41,3 +41,16 @@ def test_syncmers_are_context_free(spark):
     h = brute_sketch(" ".join(words))
     want = {i for i in range(196) if min(h[i], h[i + 4]) <= min(h[i + 1 : i + 4])}
     assert {r.at for r in rows if r.doc_id == 1} == want
+
+
+def test_fingerprints_grow_with_the_text(spark):
+    words = [f"w{i * 7919 % 10007}" for i in range(4000)]
+    own = lambda ws: {tuple(ws[i : i + 5]) for h in [brute_sketch(" ".join(ws))] for i in range(len(h) - 4) if min(h[i], h[i + 4]) <= min(h[i + 1 : i + 4])}
+    texts = [words, words[:2000] + ["other"] * 3 + words[2003:], words[:400]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in G.op6_fingerprints(df).collect()}
+    assert all(len(got[i].fingerprint) == 16 * len(own(t)) for i, t in enumerate(texts))
+    assert got[0].fingerprint != got[1].fingerprint
+    for i, j in ((2, 1), (1, 0), (0, 2)):
+        a, b = own(texts[i]), own(texts[j])
+        assert abs(got[i].near_next - len(a & b) / len(a | b)) < 1e-12
