@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +37,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(clean, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a stored table that nothing reads any more: what was made of it must be stored itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: A list of rows to leave out is broadcast up to so many ids of 8 bytes; a longer one is joined by a shuffle.
@@ -49,9 +60,32 @@ def without(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(gone) if few else gone, key, "left_anti").select(*df.columns)
 
 
-def parts(df: DataFrame) -> int:
-    """Partitions for a packed shuffle: as many as shuffles of this session have."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: No shuffle is cut into more partitions than this for its input's size.
+MOST_PARTS = 200_000
+
+
+def parts(df: DataFrame, per: int | None = None) -> int:
+    """Partitions for a packed shuffle: as many as shuffles of this session have, or one for each `per` bytes of df
+    as far as its sources tell their size, if that is more."""
+    least = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if per is None:
+        return least
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(size // per, MOST_PARTS)) if size < 1 << 60 else least  # beyond: a size nobody knows
+
+
+def tidy(work):
+    """The same work for mapInArrow, but at its end a worker gives memory back that it holds for later: workers live
+    on between tasks, and what each of a machine's workers once needed would add up."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C libraries only glibc has it
+        if trim:
+            trim(0)
+
+    return run
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -104,6 +138,30 @@ def unpacked(batches: Iterator[pa.RecordBatch], **kinds: str) -> dict[str, np.nd
     return {c: np.frombuffer(b"".join(got[c]), kinds[c]) for c in kinds}
 
 
+def squeezed(batch: pa.RecordBatch, **kinds: str) -> pa.RecordBatch:
+    """The packed columns named in kinds as differences, byte planes apart, compressed."""
+    z = zstandard.ZstdCompressor(level=1)
+    for c, kind in kinds.items():
+        own = []
+        for raw in batch.column(c).to_pylist():
+            x = np.frombuffer(raw, kind).view(f"u{np.dtype(kind).itemsize}")
+            step = np.concatenate([x[:1], x[1:] - x[:-1]])
+            own.append(z.compress(step.view(np.uint8).reshape(len(x), -1).T.tobytes()))
+        batch = batch.set_column(batch.schema.names.index(c), c, pa.array(own, pa.binary()))
+    return batch
+
+
+def unsqueezed(batch: pa.RecordBatch, **kinds: str) -> pa.RecordBatch:
+    z = zstandard.ZstdDecompressor()
+    for c, kind in kinds.items():
+        own, wide = [], np.dtype(kind).itemsize
+        for raw in batch.column(c).to_pylist():
+            step = np.ascontiguousarray(np.frombuffer(z.decompress(raw), np.uint8).reshape(wide, -1).T).view(f"u{wide}").ravel()
+            own.append(np.cumsum(step, dtype=step.dtype).tobytes())
+        batch = batch.set_column(batch.schema.names.index(c), c, pa.array(own, pa.binary()))
+    return batch
+
+
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal values."""
     if not len(sorted_values):

@@ -2,7 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from quillon.llm import lines as L
+from quillon.llm.common import packed, squeezed
 
 W = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -25,7 +28,7 @@ def matches(rows):
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[3]))
 
 
-def test_against_brute_force(spark, sf):
+def test_against_brute_force(spark, sf, monkeypatch):
     rnd = random.Random(3)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     base = [f"t{i}" for i in range(12)]
@@ -36,7 +39,44 @@ def test_against_brute_force(spark, sf):
     got = sorted((tuple(r) for r in L.op1_line_dedup(df).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
     assert got == matches(rows)
     assert L.op1_line_dedup(df.limit(0)).count() == 0
-    L.FIRST_ROUND, held = 1, L.FIRST_ROUND
-    got = sorted((tuple(r) for r in L.op1_line_dedup(df).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
-    L.FIRST_ROUND = held
-    assert got == matches(rows)
+    for other in ({"SECOND_ROUND": 1, "GROWTH": 2}, {"HOT": 2, "BROADCAST_IDS": 0}):
+        with monkeypatch.context() as m:
+            for name, value in other.items():
+                m.setattr(L, name, value)
+            got = sorted((tuple(r) for r in L.op1_line_dedup(df).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+        assert got == matches(rows), other
+
+
+def test_pieces_of_a_crowd(monkeypatch):
+    """Candidates of one token's sets, looked at in pieces, are those of all pairs."""
+    rnd = np.random.default_rng(5)
+    n = 400
+    doc, size = rnd.integers(0, 50, n), rnd.integers(5, 40, n)
+    got = {"key": rnd.integers(0, 3, n).astype("u8") << L.SIZE | size.astype("u8"), "id": np.arange(n) + 7, "doc": doc, "n": size.astype("u4"), "place": rnd.integers(0, 3, n).astype("u4"), "low": rnd.integers(0, 4, n).astype("u8"), "high": rnd.integers(0, 4, n).astype("u8")}
+    order = np.argsort(got["key"], kind="stable")
+    row = squeezed(packed(np.zeros(n, np.int32), **{c: v[order] for c, v in got.items()}), key="u8", **L.SMALL)
+    monkeypatch.setattr(L, "PAIRS", 30)
+    found = [x for b in L.candidates(0, 1 << 40, False)([row]) for x in zip(*(c.to_pylist() for c in b.columns[:2]))]
+    a, b = np.meshgrid(order, order, indexing="ij")
+    small, large = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    fits = (got["key"][a] >> L.SIZE == got["key"][b] >> L.SIZE) & (a != b) & (doc[b] <= doc[a]) & (5 * small >= 4 * large)
+    fits &= 9 * np.minimum(size[a] - got["place"][a], size[b] - got["place"][b]) >= 4 * (size[a] + size[b])
+    fits &= 9 * (np.bitwise_count(got["low"][a] ^ got["low"][b]).astype(int) + np.bitwise_count(got["high"][a] ^ got["high"][b])) <= size[a] + size[b]
+    every = sorted(zip((a[fits] + 7).tolist(), (b[fits] + 7).tolist()))
+    assert sorted(found) == every
+    parts = [x for lo, hi in ((0, 2), (2, 9), (9, 1 << 40)) for b in L.candidates(lo, hi, False)([row]) for x in zip(*(c.to_pylist() for c in b.columns[:2]))]
+    assert sorted(parts) == every
+    began = [x for b in L.candidates(0, 1, True)([row]) for x in zip(*(c.to_pylist() for c in b.columns[:2]))]
+    assert set(began) <= set(every) and {x for x, _ in began} == {x for x, _ in every}
+
+
+def test_hashes_of_words():
+    """Words hash alike wherever they stand, with either case of A-Z, at any length."""
+    own = [b"Ab " * 200_000 + b"x" * 10_000 + b" ab", b"aB\nba " + b"X" * 10_000, "Ä ä".encode()]
+    pieces = list(L.word_sets(own))
+    sets = {}
+    for text, line, size, token in pieces:
+        for t, k, w in zip(text.tolist(), line.tolist(), np.split(token, np.cumsum(size)[:-1])):
+            sets[t, k] = set(w.tolist())
+    assert [len(x) for x in sets.values()] == [2, 1, 2, 2]
+    assert sets[1, 0] < sets[0, 0] and len(sets[0, 0] & sets[1, 1]) == 1 and not sets[2, 0] & sets[0, 0]
