@@ -20,7 +20,7 @@ from .common import shared_dir, stored
 CHUNK = 1 << 20
 #: Payloads under so many bytes are always written in full.
 LEAST_REVISIT = 1000
-#: Up to so many revisits (16 bytes each) are sent to every task; more are joined.
+#: Up to so many revisits (48 bytes each) are sent to every task; more are joined.
 BROADCAST_ROWS = 250_000
 MARK = b"WARC/1.1\r\n"
 CHUNKS = "path string, ordinal long, record_id string, chunk_no long, is_last boolean, bytes_so_far long, sha1_so_far string, chunk binary, headers map<string,string>"
@@ -195,28 +195,35 @@ def read(archives: DataFrame, folder: str, chunk: int = CHUNK, payloads: bool =
     return spread.mapInArrow(work, CHUNKS)
 
 
-def revisits(rows: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(id, refers) of the rows (id, payload) whose payload of at least so many bytes also belongs to a larger id."""
-    own = rows.withColumn("b", F.coalesce(F.col("payload").cast("binary"), F.lit(b""))).where(F.length("b") >= least)
-    own = own.select("id", F.sha2("b", 256).alias("digest"), F.length("b").alias("size"))
-    first = own.groupBy("digest", "size").agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return own.join(first, ["digest", "size"]).where("id < refers").select("id", "refers").distinct()
+def with_digest(rows: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """rows (payload) with the payload's SHA-256, null where the payload has fewer bytes than a revisit needs."""
+    b = F.col("payload").cast("binary")
+    return rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.unhex(F.sha2(b, 256))))
+
+
+def revisits(rows: DataFrame) -> DataFrame:
+    """(id, digest, refers) of the rows (id, digest) whose payload also belongs to a larger id, one for each payload of
+    an id. Counted before the shuffle, so a payload of many rows is one row of each task."""
+    own = rows.where("digest is not null")
+    first = own.groupBy("digest").agg(F.max("id").alias("refers"), F.min("id").alias("low")).where("low < refers").drop("low")
+    return own.select("id", "digest").distinct().join(first, "digest").where("id < refers").select("id", "digest", "refers")
 
 
 def op3_warc(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to for every row of pages, off its archives.
 
     Of equal payloads of at least 1000 bytes the largest page_id is written in full and the others refer to it;
-    repeated rows of that page are full as well. Null html is an empty payload; a row with a null page_id is a full
-    record with a null page_id. Other columns are not read; an empty table gives no rows.
+    repeated rows of that page are full as well. A page_id may come with several payloads, each of which is judged
+    by itself: there are as many records as rows. Null html is an empty payload; a row with a null page_id is a
+    full record with a null page_id. Other columns are not read; an empty table gives no rows.
     """
     spark = pages.sparkSession
-    rows = pages.select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload"))
+    rows = with_digest(pages.select(F.col("page_id").alias("id"), "url", F.col("html").alias("payload")))
     again = stored(revisits(rows), "revisits")
     n = again.count()
     again = F.broadcast(again) if n <= BROADCAST_ROWS else again
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    archives = write(rows.join(again, "id", "left").withColumn("refers", F.col("refers").cast("string")), folder)
+    archives = write(rows.join(again, ["id", "digest"], "left").withColumn("refers", F.col("refers").cast("string")), folder)
     got = read(archives, folder, payloads=False)
     # a record's headers are in its first chunk, its size and digest in its last: for most that is the same row
     whole = got.where("is_last and chunk_no = 0").select("record_id", "headers", "bytes_so_far", "sha1_so_far")

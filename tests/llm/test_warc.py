@@ -3,6 +3,7 @@ import hashlib
 import io
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 from quillon.llm import warc as R
 
 
@@ -23,6 +24,22 @@ def test_round_trip(spark, sf):
     assert R.op3_warc(df.limit(0)).count() == 0
 
 
+def test_a_page_id_with_several_payloads(spark):
+    """Each payload of a page_id is judged by itself, and every payload is in full in some record."""
+    a, b, c = ("abc"[i] * 1200 for i in range(3))
+    for rows in ([(5, a), (5, b), (9, a)], [(5, a), (5, c), (9, a), (10, c)], [(5, a), (5, a), (7, a), (7, b), (7, "short"), (None, a)]):
+        df = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
+        top = {p: max(i for i, x in rows if x == p and i is not None) for _, p in rows}
+        want = []
+        for i, p in rows:
+            again = len(p) >= 1000 and i is not None and i < top[p]
+            want.append((i, len(p), hashlib.sha1(p.encode()).hexdigest(), "revisit" if again else "response", top[p] if again else None))
+        key = lambda r: (r[0] is None, r[0] or 0, r[2])
+        got = sorted((tuple(r) for r in R.op3_warc(df).collect()), key=key)
+        assert got == sorted(want, key=key)
+        assert {r[2] for r in got if r[3] == "response"} == {r[2] for r in got}
+
+
 def test_chunks_carry_digests():
     data = bytes(range(256)) * 700
     head = R.header("response", "5", "u", len(data), hashlib.sha1(data).digest(), len(data), None)
