@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +28,22 @@ def test_counts_stay_right(words, edits):
         assert own.text == text and own.n_chars == len(text) and own.n_tokens == full(text)
 
 
+def test_an_edit_looks_at_little():
+    """In a text of a megabyte, with a control character and a special token in it, an edit looks at a few leaves."""
+    rnd = random.Random(1)
+    text = " ".join(rnd.choice(["some", "words,", "and\n", "more", "é", "42"]) for _ in range(260_000))
+    text = text[:5000] + "\x1c <|endoftext|> " + text[5000:]
+    own = C.Counted(text, encoder(PATH))
+    assert len(text) > 1_000_000 and own.n_tokens == full(text)
+    for a, n, new in ((len(text) // 2, 12, "changed"), (4990, 30, " in <|endoftext|> here "), (10, 3, ""), (len(text), 0, " end"), (700_000, 3000, "x"), (300_000, 0, "long " * 2000)):
+        text = text[:a] + new + text[a + n :]
+        before = own.looked, own.encoded
+        own.edit(a, a + n, new)
+        assert own.n_tokens == full(text) and own.n_chars == len(text)
+        assert own.looked - before[0] < n + len(new) + 8 * C.LEAF and own.encoded - before[1] < n + len(new) + 8 * C.LEAF
+    assert own.text == text
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [(900, None), (None, ""), (901, "long words " * 20000)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")
