@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import hashlib
 import re
 import sys
 
@@ -48,10 +49,16 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--add", action="store_true", help="keep what is there")
     sub.add_parser("remove").add_argument("ident")
     sub.add_parser("stats")
-    sub.add_parser("collections")
+    a = sub.add_parser("collections")
+    a.add_argument("--set-tau", type=float, help="abstention threshold of --collection, between 0 and 1")
+    a.add_argument("--clear-tau", action="store_true")
+    sub.add_parser("info")
+    sub.add_parser("encode", help="a text's pieces and the digest of its bag").add_argument("text")
+    sub.add_parser("decode", help="the chunks of a stored document, as pieces").add_argument("name")
     a = sub.add_parser("sembuild")
     a.add_argument("--rebuild", action="store_true")
     a.add_argument("--slim", action="store_true")
+    a.add_argument("--status", action="store_true")
     a = sub.add_parser("query")
     a.add_argument("question")
     a.add_argument("--retriever", choices=("auto", "full", "cov", "v12"), default="auto")
@@ -60,6 +67,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--df-max", type=float, default=C.DF_MAX)
     a.add_argument("--sem-weight", type=float, default=C.SEM_WEIGHT)
     a.add_argument("--no-abstain", action="store_true")
+    a.add_argument("--sem-top", action="store_true", help="print the best window's score")
     return p
 
 
@@ -68,12 +76,32 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
+    from .functions.codec import tokenize
+    from .functions.hypervectors import bundle, compose
     from .plans.engine import Engine
-    from .plans.store import Catalog
+    from .plans.store import VERSION, Catalog
     from .sources.files import read_texts
 
     spark = spark or SparkSession.builder.appName("quillon").getOrCreate()
     try:
+        if args.command == "info":
+            print({"version": VERSION, "dim": C.DIM, "chunk": C.CHUNK, "semantic_bits": C.SEM_BITS, "collections": Catalog(spark, args.store).names()})
+            return 0
+        if args.command == "encode":
+            own = spark.createDataFrame([(args.text,)], "text string").select(tokenize(F.col("text")).alias("t")).first().t
+            if not own:
+                raise C.QuillonError("a text without pieces has no vector")
+            bag = bundle([compose(t.encode()) for t in own], C.DIM)
+            print(own)
+            print(len(own), "pieces", hashlib.sha256(bag).hexdigest())
+            return 0
+        if args.command == "collections" and (args.set_tau is not None or args.clear_tau):
+            if args.set_tau is not None and not 0 < args.set_tau < 1:
+                raise C.QuillonError("a threshold lies between 0 and 1")
+            own = Catalog(spark, args.store).get(args.collection)
+            own.meta(sem_abstain_tau=None if args.clear_tau else args.set_tau)
+            print(own.name, own.tau)
+            return 0
         if args.command == "collections":
             for r in Catalog(spark, args.store).report().collect():
                 print(r.collection or "TOTAL", r.docs, r.chunks or 0, r.tokens or 0)
@@ -94,8 +122,16 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         e = Engine(spark, args.store, args.collection)
         if args.command == "remove":
             print(e.collection.delete(args.ident))
+        elif args.command == "decode":
+            rows = e.collection.documents().where(F.col("name") == args.name).select("pos", F.posexplode(tokenize(F.col("text"))).alias("at", "piece"))
+            rows = rows.groupBy("pos", F.floor(F.col("at") / e.collection.k).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("p"))
+            rows = rows.orderBy("pos", "chunk").toLocalIterator()
+            if not sum(print(f"#{r.chunk} {[x.piece for x in r.p]}") is None for r in rows):
+                raise C.QuillonError(f"no document is named {args.name!r}")
         elif args.command == "stats":
             print(e.collection.summary())
+        elif args.command == "sembuild" and args.status:
+            print(e.semantic_status())
         elif args.command == "sembuild":
             print((e.slim_semantic() if args.slim else e.build_semantic(args.rebuild)).count(), "windows")
         else:
@@ -103,6 +139,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             if a.abstained:
                 print(a.note)
                 return 3
+            if args.sem_top and a.sem_top is not None:
+                print(f"sem_top {a.sem_top:.3f}")
             for h in a.hits:
                 print(f"[{h['rk']}] {h['name']}#{h['chunk']} {h['score']:.3f}: {h['text']}")
         return 0

@@ -109,7 +109,7 @@ def volumes(arts: DataFrame, order: str = "title", budget: int = C.VOLUME_TOKENS
                     volume, held = volume + 1, 0
             yield pd.DataFrame({"volume": pd.Series(out, dtype="int64"), order: pdf[order], "n_tokens": pdf.n_tokens})
 
-    return own.coalesce(1).sortWithinPartitions(order).mapInPandas(fold, f"volume long, {order} {kind}, n_tokens long")
+    return own.repartition(1).sortWithinPartitions(order).mapInPandas(fold, f"volume long, {order} {kind}, n_tokens long")
 
 
 def within_bound(rows: DataFrame, order: str, n: str, bound: int, inclusive: bool) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,37 +45,51 @@ class Engine:
     def build_semantic(self, rebuild: bool = False) -> DataFrame:
         """Window keys of the snapshot in force. Only documents without current windows are embedded; the centroid
         is set by the first build and stays until a rebuild."""
-        c, at = self.collection, f"semantic-{self.collection.snapshot}"
-        path = f"{c.files.root}/{at}"
-        if c.files.exists(f"{at}/_SUCCESS") and not rebuild:
-            return self.spark.read.parquet(path)
-        docs = c.documents()
-        last = None if rebuild else c.meta().get("semantic")
+        c, last = self.collection, None if rebuild else self.collection.meta().get("semantic")
         known = self.spark.read.parquet(f"{c.files.root}/{last['at']}") if last and c.files.exists(f"{last['at']}/_SUCCESS") and last["embedder"] == self.embedder.name else None
+        if known is not None and last["snapshot"] == c.snapshot:
+            return known
+        docs = c.documents()
         fresh = docs if known is None else docs.join(known.select("id", "sha256").distinct().withColumnRenamed("id", "doc_id"), ["doc_id", "sha256"], "left_anti")
         wins = S.windows(fresh.select("doc_id", "text"), c.k)
         made = S.embedded(wins, self.embedder).join(fresh.select("doc_id", "sha256"), "doc_id").withColumnRenamed("doc_id", "id").drop("text")
-        mu = (last or {}).get("mu") if known is not None else None
+        mu = last.get("mu") if known is not None else None
         if mu is None:
             mu = S.centroid(made)
         made = S.keys(made, mu, self.bits)
         if known is not None:
+            if "emb" not in known.columns:  # a slim index stays slim
+                made = made.drop("emb")
             made = made.unionByName(known.join(docs.select(F.col("doc_id").alias("id"), "sha256"), ["id", "sha256"], "left_semi"))
-        made.write.mode("overwrite").parquet(path)
-        c.meta(semantic={"at": at, "mu": mu, "embedder": self.embedder.name})
-        return self.spark.read.parquet(path)
+        return self._point(made, mu)
 
-    def slim_semantic(self) -> DataFrame:
-        """The window keys without the embeddings; queries need only keys."""
+    def _point(self, made: DataFrame, mu) -> DataFrame:
+        """Writes a window index under a name of its own, points to it, and only then drops the one before."""
         c = self.collection
-        at = f"semantic-{c.snapshot}"
-        if not c.files.exists(f"{at}/_SUCCESS"):
+        before, at = (c.meta().get("semantic") or {}).get("at"), f"semantic-{c.snapshot}-{uuid.uuid4().hex[:8]}"
+        made.write.parquet(f"{c.files.root}/{at}")
+        c.meta(semantic={"at": at, "snapshot": c.snapshot, "mu": mu, "embedder": self.embedder.name})
+        if before:
+            c.files.remove(before)
+        return self.spark.read.parquet(f"{c.files.root}/{at}")
+
+    def slim_semantic(self) -> DataFrame:
+        """Puts the window keys without the embeddings in the index's place; queries need only keys."""
+        c, last = self.collection, self.collection.meta().get("semantic")
+        if not last or last["snapshot"] != c.snapshot or not c.files.exists(f"{last['at']}/_SUCCESS"):
             raise C.SemanticError("there is no finished index to slim")
-        own = self.spark.read.parquet(f"{c.files.root}/{at}")
-        if "emb" not in own.columns:
-            return own
-        own.drop("emb").write.mode("overwrite").parquet(f"{c.files.root}/{at}-slim")
-        return self.spark.read.parquet(f"{c.files.root}/{at}-slim")
+        own = self.spark.read.parquet(f"{c.files.root}/{last['at']}")
+        return self._point(own.drop("emb"), last["mu"]) if "emb" in own.columns else own
+
+    def semantic_status(self) -> dict:
+        """How far the window index is: its documents and windows, those of the snapshot without windows, slim or not."""
+        c, last = self.collection, self.collection.meta().get("semantic")
+        docs = c.documents().where("n_chunks > 0")
+        if not last or not c.files.exists(f"{last['at']}/_SUCCESS"):
+            return {"built": False, "docs": 0, "windows": 0, "missing": docs.count(), "slim": False, "embedder": None}
+        own = self.spark.read.parquet(f"{c.files.root}/{last['at']}")
+        done = own.select(F.col("id").alias("doc_id"), "sha256").distinct()
+        return {"built": last["snapshot"] == c.snapshot, "docs": done.count(), "windows": own.count(), "missing": docs.join(done, ["doc_id", "sha256"], "left_anti").count(), "slim": "emb" not in own.columns, "embedder": last["embedder"]}
 
     def query(self, question: str, retriever: str = "auto", k: int = 2, doc: str | None = None, df_max: float = C.DF_MAX, sem_weight: float = C.SEM_WEIGHT, abstain: bool = True) -> Answer:
         c = self.collection

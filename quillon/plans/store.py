@@ -47,16 +47,18 @@ class Files:
             return None
 
     def write(self, name: str, value: dict) -> None:
-        """Whole or not at all: a new file takes the place of the old one by a rename."""
+        """Whole or not at all: a new file takes the place of the old one by one rename that overwrites."""
         tmp = self.path(f"{self.root}/.{name.replace('/', '-')}.{uuid.uuid4().hex}")
+        to = self.path(f"{self.root}/{name}")
+        self.fs.mkdirs(to.getParent())
         out = self.fs.create(tmp, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        to = self.path(f"{self.root}/{name}")
-        self.fs.mkdirs(to.getParent())
-        self.fs.delete(to, False)
-        if not self.fs.rename(tmp, to):
-            raise C.StoreError(f"{name} could not be put in place")
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = self.spark._sc._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        full = self.fs.makeQualified
+        hadoop.FileContext.getFileContext(full(to).toUri(), self.spark._jsc.hadoopConfiguration()).rename(full(tmp), full(to), how)
 
     def remove(self, name: str) -> bool:
         return self.fs.delete(self.path(f"{self.root}/{name}"), True)
@@ -95,31 +97,40 @@ class Collection:
         self.files.write("current.json", {"version": VERSION, "k": self.k, "snapshot": snapshot})
         return snapshot
 
-    def prepared(self, rows: DataFrame) -> DataFrame:
-        """rows (source, text[, name]) as documents; of one source the last text by hash stands; empty ones are errors."""
+    def prepared(self, rows: DataFrame, empty: str = "error") -> DataFrame:
+        """rows (source, text[, name]) as documents; of one source the text with the smallest hash stands.
+
+        Texts without tokens are an error that names some of their sources; empty="skip" passes over them.
+        """
         name = F.col("name") if "name" in rows.columns else F.element_at(F.split("source", r"[\\/]"), -1)
         own = rows.select(F.substring(F.sha2(F.lower(F.regexp_replace("source", r"[\\/]+", "/")), 256), 1, 16).alias("doc_id"), name.alias("name"), "source", F.sha2("text", 256).alias("sha256"), "text")
-        own = own.withColumn("n_tokens", F.size(tokenize(F.col("text"))).cast("long")).where("n_tokens > 0")
-        own = own.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha256"))).where("r = 1").drop("r")
+        own = own.withColumn("n_tokens", F.size(tokenize(F.col("text"))).cast("long"))
+        if empty == "error" and (bad := [r.source for r in own.where("n_tokens = 0").select("source").limit(5).collect()]):
+            raise C.StoreError(f"no tokens in {', '.join(map(str, bad))}")
+        own = own.where("n_tokens > 0").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("sha256"))).where("r = 1").drop("r")
         return own.withColumn("n_chunks", F.ceil(F.col("n_tokens") / self.k).cast("long")).withColumn("ingested", F.current_timestamp())
 
-    def upsert(self, rows: DataFrame, fresh: bool = False) -> str:
-        """Adds new documents at the end and replaces known ones where they stand; equal ones are passed over."""
+    def upsert(self, rows: DataFrame, fresh: bool = False, empty: str = "error") -> str:
+        """Adds new documents at the end and replaces known ones where they stand; equal ones are passed over.
+
+        New documents' places are found from their sources alone; texts stay out of that sort.
+        """
         if (s := self.state) and s["k"] != self.k:
             raise C.StoreError(f"{self.name} has chunks of {s['k']}, not {self.k}")
-        old, new = (self.documents().limit(0) if fresh else self.documents()), self.prepared(rows)
+        old, new = (self.documents().limit(0) if fresh else self.documents()), self.prepared(rows, empty)
         new = new.join(old.select("doc_id", "sha256"), ["doc_id", "sha256"], "left_anti")
         place = old.select("doc_id", F.col("pos").alias("old_pos"))
         last = old.agg(F.coalesce(F.max("pos") + 1, F.lit(0)).alias("last"))
-        new = new.join(place, "doc_id", "left").crossJoin(F.broadcast(last))
-        added = F.sum(F.col("old_pos").isNull().cast("long")).over(Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1))
-        new = new.withColumn("pos", F.coalesce("old_pos", F.col("last") + F.coalesce(added, F.lit(0)))).drop("old_pos", "last")
+        added = new.select("doc_id", "source").distinct().join(place, "doc_id", "left_anti")
+        added = added.withColumn("added", F.row_number().over(Window.orderBy("source", "doc_id")) - 1).drop("source")
+        new = new.join(place, "doc_id", "left").join(added, "doc_id", "left").crossJoin(F.broadcast(last))
+        new = new.withColumn("pos", F.coalesce("old_pos", F.col("last") + F.col("added"))).drop("old_pos", "last", "added")
         kept = old.join(new.select("doc_id"), "doc_id", "left_anti")
         return self._put(kept.unionByName(new))
 
     def skipped(self, rows: DataFrame) -> DataFrame:
         """rows whose source is there with the same content."""
-        own = self.prepared(rows)
+        own = self.prepared(rows, "skip")
         return own.join(self.documents().select("doc_id", "sha256"), ["doc_id", "sha256"], "left_semi")
 
     def delete(self, ident: str | None = None, prefix: str | None = None) -> int:
@@ -157,8 +168,10 @@ class Collection:
         return snapshot
 
     def vacuum(self) -> list[str]:
-        """Drops snapshots and derived tables that the pointer doesn't name."""
-        keep = {"current.json", "meta.json", self.snapshot, f"derived-{self.snapshot}", f"semantic-{self.snapshot}"}
+        """Drops snapshots and derived tables that neither the pointer nor the newest window index is of: the next
+        build of the latter takes its embeddings and its centroid over."""
+        semantic = (self.meta().get("semantic") or {}).get("at")
+        keep = {"current.json", "meta.json", self.snapshot, f"derived-{self.snapshot}", f"semantic-{self.snapshot}", semantic}
         return [x for x in self.files.names() if x not in keep and self.files.remove(x)]
 
     def meta(self, **changes) -> dict:

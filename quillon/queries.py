@@ -420,7 +420,18 @@ def event_windows(s, d):
     return windowed_counts(table(s, d, "events")).select(F.col("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("volume_packing", None)
+VOLUMES = f"""with recursive n as (select doc_id, row_number() over (order by doc_id) as r,
+  len(regexp_extract_all('= ' || doc_id || ' =' || chr(10) || chr(10) || text || chr(10) || chr(10), '{PIECE_SQL}'))::bigint as n_tokens
+  from documents where text is not null),
+ f as (select r, doc_id, n_tokens, 0::bigint as volume, n_tokens as held from n where r = 1
+  union all
+  select n.r, n.doc_id, n.n_tokens, f.volume + (f.held >= {C.VOLUME_TOKENS})::bigint,
+   case when f.held >= {C.VOLUME_TOKENS} then 0 else f.held end + n.n_tokens
+  from f join n on n.r = f.r + 1)
+ select volume, count(*) as docs, sum(n_tokens)::bigint as n_tokens, min(doc_id) as first_doc from f group by volume"""
+
+
+@query("volume_packing", VOLUMES)
 def volume_packing(s, d):
     """Documents packed into volumes of 100,000 tokens in doc_id order, by a fold that starts anew at each volume."""
     t = docs(s, d).select("doc_id", F.col("doc_id").cast("string").alias("title"), F.col("text").alias("plain"))

@@ -11,8 +11,8 @@ from ..plans.store import Collection
 
 def ingest_stream(rows: DataFrame, collection: Collection, checkpoint: str) -> StreamingQuery:
     """Takes in what there is of a stream of (source, text). A batch that is run again changes nothing, since equal
-    documents are passed over."""
-    return rows.writeStream.foreachBatch(lambda batch, _: batch.isEmpty() or collection.upsert(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    documents are passed over. Texts without tokens are passed over too: one file must not stop the stream."""
+    return rows.writeStream.foreachBatch(lambda batch, _: batch.isEmpty() or collection.upsert(batch, empty="skip")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def text_stream(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,10 +6,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 from quillon import contract as C
+from quillon.cli import main
 from quillon.functions import codec
 from quillon.operators import markup as M
+from quillon.operators.semantic import HashEmbedder
 from quillon.plans.engine import Engine
-from quillon.plans.store import Catalog, collection_name
+from quillon.plans.store import Catalog, Files, collection_name
 from quillon.sources import files as S
 from quillon.streaming.ingest import ingest_stream, text_stream
 
@@ -21,7 +23,10 @@ def rows(spark, *pairs):
 def test_collections_keep_places_and_apart(spark, tmp_path):
     c = Catalog(spark, f"file://{tmp_path}")
     one = c.get("One", create=True)
-    one.upsert(rows(spark, ("a.txt", "alpha beta"), ("b.txt", "gamma"), ("e.txt", "")))
+    with pytest.raises(C.StoreError, match="e.txt"):
+        one.upsert(rows(spark, ("a.txt", "alpha beta"), ("e.txt", "")))
+    assert one.snapshot is None
+    one.upsert(rows(spark, ("a.txt", "alpha beta"), ("b.txt", "gamma"), ("e.txt", "")), empty="skip")
     first = one.snapshot
     assert [(r.name, r.pos) for r in one.documents().orderBy("pos").collect()] == [("a.txt", 0), ("b.txt", 1)]
     one.upsert(rows(spark, ("a.txt", "alpha changed"), ("c.txt", "delta")))
@@ -59,8 +64,53 @@ def test_ladder(spark, tmp_path):
     assert all(h["name"] == "tok.txt" for h in only.hits)
     with pytest.raises(C.QuillonError):
         e.query(" ")
+    e.collection.meta(sem_abstain_tau=None)
+    before = [(h["name"], h["chunk"], h["score"]) for h in b.hits]
     slim = e.slim_semantic()
-    assert "emb" not in slim.columns and slim.count() == e.build_semantic().count()
+    assert "emb" not in slim.columns and slim.inputFiles() and set(slim.inputFiles()) == set(e.build_semantic().inputFiles())
+    again = e.query("beavers dams branches", "full", k=2, abstain=False)
+    assert [(h["name"], h["chunk"], h["score"]) for h in again.hits] == before
+    assert len([x for x in e.collection.files.names() if x.startswith("semantic-")]) == 1
+
+
+def test_window_index_outlives_vacuum(spark, tmp_path):
+    """After an upsert and a vacuum the next build embeds the new document only and keeps the centroid."""
+    e = Engine(spark, f"file://{tmp_path}", dim=1024, bits=256)
+    e.ingest(rows(spark, ("a", "Beavers build dams from branches."), ("b", "A tokenizer splits text into pieces.")))
+    assert e.semantic_status()["missing"] == 2
+    e.build_semantic()
+    mu, old = e.collection.meta()["semantic"]["mu"], {(r.id, r.win_start): bytes(r.key) for r in e.build_semantic().collect()}
+    e.ingest(rows(spark, ("c", "Hypervectors bundle and bind.")))
+    e.collection.vacuum()
+    assert e.semantic_status() | {"embedder": 0} == {"built": False, "docs": 2, "windows": 2, "missing": 1, "slim": False, "embedder": 0}
+    now = {(r.id, r.win_start): bytes(r.key) for r in e.build_semantic().collect()}
+    assert e.collection.meta()["semantic"]["mu"] == mu and len(now) == 3 and old.items() <= now.items()
+    assert e.semantic_status()["built"] and e.semantic_status()["missing"] == 0
+
+
+def test_pointer_is_never_missing(spark, tmp_path):
+    """A pointer is replaced by one rename: the old file is not deleted before."""
+    f = Files(spark, f"file://{tmp_path}/x")
+    f.write("p.json", {"a": 1})
+    deleted, f.remove = [], lambda name: deleted.append(name)
+    f.write("p.json", {"a": 2})
+    assert f.read("p.json") == {"a": 2} and not deleted and [x for x in f.names() if not x.endswith(".crc")] == ["p.json"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Beavers build dams.")
+    run = lambda *a: main(["--store", f"file://{tmp_path}/store", *a], spark)
+    assert run("ingest", str(tmp_path / "in" / "a.txt")) == 0
+    assert run("collections", "--set-tau", "0.25") == 0 and "0.25" in capsys.readouterr().out
+    assert run("collections", "--set-tau", "1.5") == 2
+    assert run("collections", "--clear-tau") == 0 and str(C.ABSTAIN_TAU) in capsys.readouterr().out
+    assert run("sembuild", "--status") == 0 and "'missing': 1" in capsys.readouterr().out
+    assert run("info") == 0 and "default" in capsys.readouterr().out
+    assert run("encode", "Beavers build") == 0 and "3 pieces" in capsys.readouterr().out
+    assert run("encode", "") == 2
+    assert run("decode", "a.txt") == 0 and "Beaver" in capsys.readouterr().out
+    assert run("decode", "none") == 2
 
 
 def test_markup(spark):
