@@ -9,11 +9,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import texts, tidy
 from .decontaminate import words
 
 #: At most so many labelled documents of each class are sampled for the dictionaries and the calibration, by hash.
@@ -28,6 +29,8 @@ GAP = b"\x7f"
 #: dictionaries, whose shortest match is that length: a match is a whole gram, never a part of one.
 GRAMS = range(5, 8)
 LEAST_Z, LEAST_RATIO, LEAST_DOCS = 5.0, 5.0, 3
+#: Shingles of a text from which on a sixteenth of them tells copies among the sampled documents.
+SHINGLES = 128
 #: Added to the number of words and of windows where shares are taken, so that a short text's count for less.
 FEW_WORDS, FEW_WINDOWS = 12, 2
 
@@ -80,12 +83,15 @@ def features(compressors, documents: list[bytes]) -> np.ndarray:
 
 
 def distinct_documents(documents: list[bytes], most: int) -> list[bytes]:
-    """Those that share under half of their five-word shingles with the ones before."""
-    seen: set[bytes] = set()
+    """Those that share under half of their five-word shingles with the ones before; of texts with SHINGLES or more,
+    the one shingle in 16 that its hash names stands for them."""
+    seen: set[int] = set()
     out = []
     for t in documents:
         w = words(t)
-        own = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+        own = {xxhash.xxh64_intdigest(b" ".join(w[i : i + 5])) for i in range(max(1, len(w) - 4))}
+        if len(own) >= SHINGLES:
+            own = {x for x in own if x & 15 == 0} or own
         if w and 2 * len(own & seen) < len(own):
             out.append(t)
         seen |= own
@@ -189,7 +195,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
                 x = np.c_[np.ones(len(part)), features(both, part)] @ np.array(model.weights)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 200), pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))))], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(work, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), f"doc_id {kind}, score double")
 
 
 def op9_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -210,4 +216,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
                 x = np.c_[np.ones(len(part)), features(both, part)] @ np.array(model.weights)
                 yield b.slice(at, 200).filter(pa.array(1 / (1 + np.exp(-np.clip(x, -30, 30))) < threshold))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)

@@ -13,9 +13,7 @@ def test_held_out_accuracy(spark):
     held = [(r.toxic, got[r.doc_id].predicted) for r in labels.collect() if got[r.doc_id].held_out]
     pos = [p for t, p in held if t == 1]
     neg = [p for t, p in held if t == 0]
-    # about 300 toxic documents to learn from, some of whose words' beginnings ordinary words share: measured 0.66 and
-    # 0.05 here, and 0.986 and 0.0006 on a table with five times as many (README)
-    assert sum(pos) / len(pos) > 0.6 and sum(neg) / len(neg) < 0.08
+    assert sum(pos) / len(pos) > 0.9 and sum(neg) / len(neg) < 0.02
 
 
 def test_held_out_accuracy_in_each_language(spark):
