@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import stored, texts, without
 
-#: Bytes of benchmark text that one pass over the index answers; larger benchmarks take further passes.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one pass over the index answers; larger benchmarks take further passes. Its windows
+#: take about 165 times as many bytes of a worker's memory, and of the driver's.
+BLOCK_BYTES = 1 << 20
 #: Lower-cases A-Z and turns what is in no word into spaces.
 WORDS = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256)
@@ -25,9 +26,9 @@ def words(text: bytes) -> list[bytes]:
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """(item_id as text, words) of the items that have words, in blocks of about `most` bytes."""
+    """(item_id as text or None, words) of the items that have words, in blocks of about `most` bytes."""
     block, size = [], 0
-    rows = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("binary").alias("t"))
     for row in rows.toLocalIterator():
         if w := words(bytes(row.t or b"")):
             if block and size + len(row.t) > most:
@@ -48,7 +49,7 @@ class Phrases:
         for item, w in items:
             ids = [self.terms.setdefault(x, len(self.terms)) for x in w]
             for i in range(max(1, len(ids) - width + 1)):
-                found[tuple(ids[i : i + width])].add(item)
+                found[tuple(ids[i : i + width])] |= {item} - {None}
         self.windows = [(w, sorted(found[w])) for w in found]
 
     def by_rarest(self, counts: np.ndarray) -> dict[int, list[tuple[int, list[tuple[int, int]]]]]:
@@ -163,8 +164,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, slack:
     hit. With `slack`, windows also match with so many further words between theirs. The postings of all documents
     are stored for each block of the benchmark, counted over the whole corpus, and searched from the rarest term of
     each window. Blocks bound what is broadcast: larger benchmarks take more passes. Null and empty texts have no
-    words and match nothing, null item_ids are skipped, repeated documents give a row each, repeated items count
-    once, and an empty benchmark hits nothing. Other columns are not read.
+    words and match nothing, items without an id hit words but are not named, repeated documents give a row each,
+    repeated items count once, and an empty benchmark hits nothing. Other columns are not read.
     """
     sc, kind = docs.sparkSession.sparkContext, docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), "text").withColumn("row", F.monotonically_increasing_id())

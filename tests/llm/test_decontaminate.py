@@ -15,7 +15,7 @@ def brute(docs, items, width=10):
     for i, t in items:
         w = split(t)
         for k in range(max(1, len(w) - width + 1)) if w else ():
-            win.setdefault(tuple(w[k : k + width]), set()).add(str(i))
+            win.setdefault(tuple(w[k : k + width]), set()).update([] if i is None else [str(i)])
     out = []
     for d, t in docs:
         w, hit, own = split(t), set(), set()
@@ -31,9 +31,9 @@ def brute(docs, items, width=10):
 def test_against_brute_force(spark, sf, monkeypatch):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
-    items = [(r.item_id, r.text) for r in bench.collect()] + [(500, "a b"), (501, None), (502, ""), (503, "a b"), (500, "x y z")]
+    items = [(r.item_id, r.text) for r in bench.collect()] + [(500, "a b"), (501, None), (502, ""), (503, "a b"), (500, "x y z"), (None, "only here")]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows += [(900, None), (901, ""), (902, "a b a b A-B"), (902, items[0][1] + " " + items[1][1]), (903, ("a b " * 20000) + items[2][1])]
+    rows += [(900, None), (901, ""), (902, "a b a b A-B"), (904, "it is Only here now"), (902, items[0][1] + " " + items[1][1]), (903, ("a b " * 20000) + items[2][1])]
     d = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
     b = spark.createDataFrame(items, "item_id long, text string")
     key = lambda r: (r[0], r[1:])
