@@ -158,3 +158,19 @@ def test_rankers_with_production_vectors(spark, tmp_path):
     for name, got in rows.items():
         shape = lambda r: (r[0], r[1], r[2], r[3], r[4], float(r[5]))
         assert want[name] and near([shape(r) for r in got], [shape(r) for r in want[name]]), name
+
+
+def test_coverage_where_chunks_are_read(spark, sf, monkeypatch):
+    """Scoring chunks in blocks gives what the join of all shared tokens gives, with nulls and ties."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
+    docs = docs.unionByName(spark.createDataFrame([(None, "some words here"), (9000, None), (9001, ""), (9002, "some words here"), (9003, "some words here")], "doc_id long, text string"))
+    asked = [(i, r.text[:200]) for i, r in enumerate(docs.limit(7).collect())] + [(50, "some words"), (51, ""), (52, None), (50, "here")]
+    q = spark.createDataFrame(asked, "qid long, question string")
+    key = lambda d: sorted((r.qid, r.rk, r.doc_id or -1, r.chunk, round(r.cov, 6)) for r in d.collect())
+    want = key(L.joined_coverage(docs, q, 4, 0.5))
+    assert len(want) > 20 and key(L.exact_coverage(docs, q, 4, 0.5)) == want
+    monkeypatch.setattr(L, "QUESTIONS", 2)
+    assert key(L.exact_coverage(docs, q, 4, 0.5)) == want
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 1)
+    assert key(L.exact_coverage(docs, q, 4, 0.5)) == want
+    assert L.exact_coverage(docs.limit(0), q).count() == 0 and L.exact_coverage(docs, q.limit(0)).count() == 0
