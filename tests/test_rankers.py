@@ -174,3 +174,16 @@ def test_coverage_where_chunks_are_read(spark, sf, monkeypatch):
     monkeypatch.setattr(C, "BROADCAST_ROWS", 1)
     assert key(L.exact_coverage(docs, q, 4, 0.5)) == want
     assert L.exact_coverage(docs.limit(0), q).count() == 0 and L.exact_coverage(docs, q.limit(0)).count() == 0
+
+
+def test_index_of_many_tokens(spark):
+    """More distinct tokens than a worker holds vectors of: each chunk still has the bag of its own tokens."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f" {a}{b}{c}{d}" for a in letters for b in letters for c in letters for d in "abc"]
+    docs = spark.createDataFrame([(i, "".join(words[i * 10_000 : i * 10_000 + 10_000])) for i in range(5)], "doc_id long, text string").coalesce(1)
+    rows = L.index(docs, 64, composed=False).collect()
+    assert sum(len(set(r.tokens)) for r in rows) > 45_000
+    for r in rows:
+        for c in (0, 300, r.n_chunks - 1):
+            part = r.tokens[c * C.CHUNK : (c + 1) * C.CHUNK]
+            assert bytes(r.bags)[c * 8 : c * 8 + 8] == hv.bundle([hv.hashed(t.encode(), 64) for t in part], 64)
