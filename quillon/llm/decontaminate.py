@@ -234,6 +234,10 @@ def op10_decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
-    """docs without the rows in which a window of the benchmark occurs. Rows with a null doc_id stay if clean."""
-    ids = docs.withColumn("__row", F.monotonically_increasing_id())
-    return without(ids, contamination(ids, benchmark, width, key="__row").where("n_hit > 0"), "__row").select(*docs.columns)
+    """docs without the rows in which a window of the benchmark occurs. Rows with a null doc_id stay if clean.
+
+    Rows are known by a 64-bit hash of their text, on which alone the decision rests, so they may be computed anew
+    in another order. A column named __text_hash is not allowed.
+    """
+    ids = docs.withColumn("__text_hash", F.xxhash64("text"))
+    return without(ids, contamination(ids, benchmark, width, key="__text_hash").where("n_hit > 0"), "__text_hash").select(*docs.columns)
