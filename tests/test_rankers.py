@@ -187,3 +187,34 @@ def test_index_of_many_tokens(spark):
         for c in (0, 300, r.n_chunks - 1):
             part = r.tokens[c * C.CHUNK : (c + 1) * C.CHUNK]
             assert bytes(r.bags)[c * 8 : c * 8 + 8] == hv.bundle([hv.hashed(t.encode(), 64) for t in part], 64)
+
+
+def test_nearest_among_many_ties(spark):
+    """Stored and merely tokenised documents give each query's nearest chunks, ties by place, whatever batches they are in."""
+    rnd = random.Random(5)
+    docs = spark.createDataFrame([(i * 5000, "".join(rnd.choice([" a", " b", " c", "d"]) for _ in range(rnd.randint(0, 150)))) for i in range(40)], "doc_id long, text string").repartition(3)
+    docs = docs.unionByName(spark.createDataFrame([(7, None), (8, "")], "doc_id long, text string"))
+    asked = [(3, hv.hashed(b"x", 64)), (4, hv.hashed(b" a", 64)), (5, bytes(8))]
+    bags = [(r.doc_id, r.chunk, bytes(r.bag)) for r in K.bags(docs, 64, 4, composed=False).orderBy("doc_id", "chunk").collect()]
+    ham = lambda a, b: (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count()
+    want = {q: [(*bags[g][:2], g, h) for h, g in sorted((ham(b, v), g) for g, (*_, b) in enumerate(bags))[:6]] for q, v in asked}
+    df, n, sizes = L.survey(docs, spark.createDataFrame([(1, "a b q"), (2, None)], "qid long, question string"), 4)
+    assert n == len(bags) == K.chunks(docs, 4).count()
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in K.token_df(docs, 4).where("token in ('a', ' a', ' b', ' q', 'q', 'b')").collect()}
+    for found in (L.nearest(L.index(docs, 64, 4, composed=False), asked, 6, dim=64), L.with_gid(L.nearest(L.tokenised(docs), asked, 6, size=4, composed=False, dim=64), sizes)):
+        got = {q: [] for q, _ in asked}
+        for r in found.orderBy("qid", "rk").collect():
+            got[r.qid].append((r.doc_id, r.chunk, r.gid, r.ham))
+        assert got == want
+
+
+def test_distances_by_products():
+    """Distances out of matrix products are the counts of bits that differ, all of them if need be."""
+    rng = np.random.default_rng(6)
+    for dim, n in ((24, 3), (64, 5), (1024, 4), (C.DIM, 5), (C.DIM, 1)):
+        bags = np.concatenate([rng.integers(0, 256, (5, dim // 8), np.uint8), np.full((1, dim // 8), 255, np.uint8), np.zeros((1, dim // 8), np.uint8)])
+        rows = np.concatenate([rng.integers(0, 256, (n - 1, dim // 8), np.uint8), np.full((1, dim // 8), 255, np.uint8)])
+        differ = hv.unpack(bags)[:, None] ^ hv.unpack(rows)[None]
+        assert (L.Distances(rows).of(bags) == differ.sum(2)).all()
+        weigh = rng.integers(0, 16, (n, dim))
+        assert (L.Distances(rows, weigh).of(bags) == (differ * weigh[None]).sum(2)).all()
