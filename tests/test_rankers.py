@@ -218,3 +218,45 @@ def test_distances_by_products():
         assert (L.Distances(rows).of(bags) == differ.sum(2)).all()
         weigh = rng.integers(0, 16, (n, dim))
         assert (L.Distances(rows, weigh).of(bags) == (differ * weigh[None]).sum(2)).all()
+
+
+def test_coverage_reads_chunks_once(spark, monkeypatch):
+    """The chunks held by guessed moments give the answer; if the guess is bad, all chunks are scored again."""
+    docs, qs = corpus(spark)
+    df, n, _ = L.survey(docs, qs)
+    plan = L.prepared(L.terms(qs, df, n), most=1 << 20)
+    found = lambda: [tuple(r) for r in L.retrieve_coverage(L.tokenised(docs), plan, 3, dim=1024, composed=False).orderBy("qid", "rk").collect()]
+    again, scored_by = [], L.scored_by
+    monkeypatch.setattr(L, "scored_by", lambda *a: again.append(a[1]) or scored_by(*a))
+    want = found()
+    assert len(want) == 6 and not again
+    every = {r.doc_id for r in docs.collect()}
+    kept = L.retrieve_coverage(L.tokenised(docs), plan, 3, docs.select("doc_id"), dim=1024, composed=False)
+    assert len(every) == 25 and [tuple(r) for r in kept.orderBy("qid", "rk").collect()] == want and again.pop()
+    monkeypatch.setattr(L, "LIKELY", 1)
+    monkeypatch.setattr(L, "guessed", lambda index, tokens, *_: (np.linspace(-20, 20, len(tokens)), np.full(len(tokens), 1e-3)))
+    assert found() == want and again == [[1, 3]]
+
+
+def test_guesses_are_wrong_by_no_more_than_is_said():
+    rng = np.random.default_rng(8)
+    dim, plan = 1024, [(np.array([3.0, 1.5]), [[0, 1], [2]]), (np.array([2.0]), [[3, 3, 0]])]
+    d = rng.integers(0, dim + 1, (400, 4)).astype(np.int32)
+    for _ in range(30):
+        mine, true = ((rng.normal(0, 4, 4), rng.choice([0, 0.5, 3, 9], 4)) for _ in range(2))
+        guess = L.Guess(plan, mine, dim)
+        got = guess.weigh @ guess.terms(guess.phi(d))
+        phi = L.memberships(d, true, dim)
+        for j, (w, own) in enumerate(plan):
+            off = w @ np.stack([phi[p].min(0) for p in own]) - got[j]
+            over, under = (x[j] for x in guess.wrong(true))
+            assert -under <= off.min() and off.max() <= over
+
+
+def test_six_vectors_share_a_double():
+    rng = np.random.default_rng(9)
+    for dim, n in ((1024, 6), (1024, 13), (1 << 17, 7)):
+        bags, rows = (rng.integers(0, 256, (m, dim // 8), np.uint8) for m in (4, n))
+        bags[0], rows[-1], rows[0] = 255, 255, 0
+        near = L.Distances(rows)
+        assert near.factor.shape == (dim, -(-n // 6)) and (near.of(bags) == (hv.unpack(bags)[:, None] ^ hv.unpack(rows)[None]).sum(2)).all()
