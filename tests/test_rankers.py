@@ -260,3 +260,22 @@ def test_six_vectors_share_a_double():
         bags[0], rows[-1], rows[0] = 255, 255, 0
         near = L.Distances(rows)
         assert near.factor.shape == (dim, -(-n // 6)) and (near.of(bags) == (hv.unpack(bags)[:, None] ^ hv.unpack(rows)[None]).sum(2)).all()
+
+
+def test_windows_read_chunks_once(spark, monkeypatch):
+    """The windows held by guessed moments give the picks, of documents without an id too; if the guess is bad, all windows are scored again."""
+    docs, qs = corpus(spark)
+    rnd = random.Random(7)
+    long = [(i, " ".join(f"word{rnd.randint(0, 59)}" for _ in range(200))) for i in (100, 101, None, None)]
+    docs = docs.unionByName(spark.createDataFrame(long, "doc_id long, text string"))
+    df, n, _ = L.survey(docs, qs)
+    plan = L.prepared(L.terms(qs, df, n), most=1 << 20)
+    found = lambda: [tuple(r) for r in L.retrieve_windows(L.tokenised(docs), plan, 9, dim=1024, composed=False).orderBy("qid", "rk").collect()]
+    again, windows_by = [], L.windows_by
+    monkeypatch.setattr(L, "windows_by", lambda d, own, *a: again.append([x[0] for x in own]) or windows_by(d, own, *a))
+    want = found()
+    assert len(want) == 18 and not again
+    monkeypatch.setattr(L, "LIKELY", 1)
+    monkeypatch.setattr(L, "guessed", lambda index, tokens, *_: (np.linspace(-20, 20, len(tokens)), np.full(len(tokens), 1e-3)))
+    got = found()
+    assert again == [[1, 3]] and [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])
