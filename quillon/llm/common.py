@@ -149,7 +149,7 @@ def squeezed(batch: pa.RecordBatch, **kinds: str) -> pa.RecordBatch:
         for raw in batch.column(c).to_pylist():
             x = np.frombuffer(raw, kind).view(f"u{np.dtype(kind).itemsize}")
             step = np.concatenate([x[:1], x[1:] - x[:-1]])
-            own.append(z.compress(step.view(np.uint8).reshape(len(x), -1).T.tobytes()))
+            own.append(z.compress(np.ascontiguousarray(step.view(np.uint8).reshape(len(x), -1).T)))
         batch = batch.set_column(batch.schema.names.index(c), c, pa.array(own, pa.binary()))
     return batch
 
@@ -159,7 +159,11 @@ def unsqueezed(batch: pa.RecordBatch, **kinds: str) -> pa.RecordBatch:
     for c, kind in kinds.items():
         own, wide = [], np.dtype(kind).itemsize
         for raw in batch.column(c).to_pylist():
-            step = np.ascontiguousarray(np.frombuffer(z.decompress(raw), np.uint8).reshape(wide, -1).T).view(f"u{wide}").ravel()
+            planes = np.frombuffer(z.decompress(raw), np.uint8).reshape(wide, -1)
+            step = np.empty(planes.shape[::-1], np.uint8)
+            for i, x in enumerate(planes):
+                step[:, i] = x
+            step = step.view(f"u{wide}").ravel()
             own.append(np.cumsum(step, dtype=step.dtype).tobytes())
         batch = batch.set_column(batch.schema.names.index(c), c, pa.array(own, pa.binary()))
     return batch
@@ -176,7 +180,11 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit mixing function (the finaliser of splitmix64), one to one."""
     with np.errstate(over="ignore"):
-        x = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x = x.astype(np.uint64)
+        x += np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x

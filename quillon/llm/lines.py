@@ -29,58 +29,43 @@ HOT = 4096
 WIDE = 6
 NULL_ID = -(1 << 63)
 
-#: The hash of a word is a polynomial over its bytes, each replaced by a random number (A-Z by a-z's), modulo 2**64.
-#: It is taken over spans of SPAN bytes at once; words beyond LONG bytes are hashed one by one.
-SPAN, LONG = 1 << 18, 4096
-BASE = 0x9E3779B97F4A7C15
-IS_WORD = np.array([c != 0x20 for c in WORDS])
-
-
-def powers(base: int) -> np.ndarray:
-    out = np.ones(SPAN + LONG, np.uint64)
-    out[1:] = np.uint64(base)
-    return np.multiply.accumulate(out)
-
-
-VALUES = mix(np.frombuffer(WORDS, np.uint8), 11)
-POWERS, INVERSES = powers(BASE), powers(pow(BASE, -1, 1 << 64))
-
-
-def hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words buf[start:end], the same for the same word anywhere."""
-    out = np.empty(len(start), np.uint64)
-    long = end - start > LONG
-    for i in np.flatnonzero(long):
-        out[i] = xxhash.xxh64_intdigest(buf[start[i] : end[i]].tobytes().translate(WORDS), 42)
-    where = np.flatnonzero(~long) if long.any() else None
-    s, e = (start, end) if where is None else (start[where], end[where])
-    own, i = np.empty(len(s), np.uint64), 0
-    while i < len(s):
-        j = int(np.searchsorted(s, s[i] + SPAN))
-        a, b = s[i], e[j - 1]
-        h = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(VALUES[buf[a:b]] * POWERS[: b - a], out=h[1:])
-        own[i:j] = (h[e[i:j] - a] - h[s[i:j] - a]) * INVERSES[s[i:j] - a]
-        i = j
-    own = mix(own, 1)
-    if where is None:
-        return own
-    out[where] = own
+#: Bytes of text whose words are found together, which fit into a core's cache.
+CACHED = 1 << 18
+#: Words beyond so many bytes are hashed one by one.
+LONG = 256
+#: What stays of eight bytes where a word has fewer.
+BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def hashes(low: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words low[start:end], the same for the same word anywhere: eight bytes at a time are
+    mixed with the hash of those before. Words have no zero bytes, so those behind a shorter word say its length."""
+    size = end - start
+    eight = np.ndarray(len(low), "<u8", low + bytes(8), strides=1)
+    out = mix(eight[start] & BYTES[np.minimum(size, 8)], 1)
+    at, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        out[at] = mix(out[at] ^ eight[start[at] + k] & BYTES[np.minimum(size[at] - k, 8)], 1)
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh64_intdigest(low[start[i] : end[i]], 42)
     return out
 
 
 def word_sets(own: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(text, line, size of its word set, words as ascending 48-bit hashes) of the lines with words, in pieces."""
-    buf = np.frombuffer(b"\n".join(own) + b"\n", np.uint8)
-    inside = np.zeros(len(buf) + 1, np.int8)
-    inside[1:] = IS_WORD[buf]
+    raw = b"\n".join(own) + b"\n"
+    low = raw.translate(WORDS)
+    inside = np.zeros(len(raw) + 1, bool)
+    np.not_equal(np.frombuffer(low, np.uint8), 0x20, out=inside[1:])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    ends = np.flatnonzero(buf == 10)
+    start, end = np.ascontiguousarray(edge[::2]), np.ascontiguousarray(edge[1::2])
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
     count = np.diff(np.r_[0, np.searchsorted(start, ends)])
     size = np.array([len(t) + 1 for t in own])
     first = np.searchsorted(ends, np.cumsum(size) - size)  # each text's first line
-    word = hashes(buf, start, end) >> np.uint64(64 - 8 * WIDE)
+    word = hashes(low, start, end) >> np.uint64(64 - 8 * WIDE)
     lines = np.flatnonzero(count)
     bound = np.r_[0, np.cumsum(count[lines])]
     for a in range(0, len(lines), 60_000):  # a line's number in the piece and a word's hash fit into 64 bits
@@ -110,6 +95,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def among(x: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array that is not empty."""
+    return ascending[np.minimum(np.searchsorted(ascending, x), len(ascending) - 1)] == x
+
+
 def needed(n: np.ndarray | int):
     """The smallest size of a set, and the smallest overlap with an equal-sized one, that can match size n."""
     return (NUM * n + DEN - 1) // DEN
@@ -132,7 +122,7 @@ def deal_lines(n_parts: int):
         for b in batches:
             own, docs, rows = texts(b), b.column("doc_id").fill_null(NULL_ID).to_numpy(), b.column("row").to_numpy()
             for lo, hi in slices([len(t) for t in own]):
-                got = list(word_sets(own[lo:hi]))
+                got = [(a + x[0], *x[1:]) for a, z in slices([len(t) for t in own[lo:hi]], CACHED) for x in word_sets(own[lo + a : lo + z])]
                 if not got:
                     continue
                 text, line, n, token = (np.concatenate(x) for x in zip(*got))
@@ -202,7 +192,8 @@ def coded(n: np.ndarray) -> np.ndarray:
 
 
 def slots(token: np.ndarray) -> np.ndarray:
-    return (mix(token, 7) & np.uint64(COUNTERS - 1)).astype(np.int64)
+    """The words' counters: bits of the hash that the bitmap (the lowest 7) has no use for."""
+    return (token >> np.uint64(7) & np.uint64(COUNTERS - 1)).view(np.int64)
 
 
 def rarity(sets: DataFrame) -> np.ndarray:
@@ -254,18 +245,22 @@ def prefixes(held, n_parts: int, hot: int):
             for base, doc, n, t in zip(*(b.column(c) for c in ("base", "doc", "n", "tokens"))):
                 base, doc, n, token = base.as_py(), np.frombuffer(doc.as_buffer(), "i8"), np.frombuffer(n.as_buffer(), "u4").astype(np.int64), widen(np.frombuffer(t.as_buffer(), np.uint8))
                 first = np.cumsum(n) - n
-                bit = mix(token, 5)
-                half = bit >> np.uint64(6) & np.uint64(1)
-                bit = np.uint64(1) << (bit & np.uint64(63))
-                low, high = (np.bitwise_xor.reduceat(bit * x, first) for x in (half, np.uint64(1) - half))
-                count = table[slots(token)]
-                own = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(token)) - first[own]
-                order = (own << 49 | count.astype(np.int64) << 41 | place).view(np.uint64)  # a set's words ascend already
+                bit = np.uint64(1) << (token & np.uint64(63))
+                upper = bit * (token >> np.uint64(6) & np.uint64(1))
+                low, high = (np.bitwise_xor.reduceat(x, first) for x in (upper, bit ^ upper))
+                every = np.arange(len(n))
+                order = np.repeat(every << 49, n)
+                order |= table[slots(token)].astype(np.int64) << 41
+                order |= np.arange(len(token))  # a set's words ascend already
+                order = order.view(np.uint64)
                 order.sort()
-                order = first[own] + (order.view(np.int64) & ((1 << 41) - 1))
-                token, count = token[order], count[order]
                 reach = np.where(n >= LEAST, n - needed(n) + 1, 0)
+                span = reach + (reach > 0)  # with the one word that only stands second
+                at = ranges(first, span)
+                own = np.repeat(every, span)
+                place = at - first[own]
+                order = order.view(np.int64)[at]
+                token, count = token[order & ((1 << 41) - 1)], order >> 41 & 255
                 keep = place < reach[own]
                 keep &= count > 1  # a word of one set alone brings none together
                 at = np.flatnonzero(keep & (count < crowded))
@@ -353,12 +348,12 @@ def candidates(least: int, most: int, first: bool, only=None):
 
         give = lambda x, y, more: batch("x y more", own[x], own[y], more)
         every, had = np.arange(len(own)), np.zeros(len(own), np.int64)
-        start = np.searchsorted(key, group << SIZE | needed(size).astype(np.uint64))
-        end = np.searchsorted(key, group << SIZE | np.minimum(DEN * size // NUM, int(SIZES)).astype(np.uint64), "right")
+        at = every if first or only is None else np.flatnonzero(among(own, only.value))
+        start = np.searchsorted(key, group[at] << SIZE | needed(size[at]).astype(np.uint64))
+        end = np.searchsorted(key, group[at] << SIZE | np.minimum(DEN * size[at] // NUM, int(SIZES)).astype(np.uint64), "right")
         if not first:
-            at = every if only is None else np.flatnonzero(np.isin(own, only.value))
-            at = at[(end - start)[at] > 1]
-            for x, y in partners(at, start[at], end[at]):
+            several = end - start > 1
+            for x, y in partners(at[several], start[several], end[several]):
                 ok = before(y, x)
                 x, y = fitting(x[ok], y[ok])
                 if len(x):
@@ -506,6 +501,16 @@ def verify(batches):
 #: Candidates of a set under each of its tokens in the first round, of which one is compared, and in the second, which
 #: compares all; each further round takes GROWTH times as many.
 FIRST_ROUND, SECOND_ROUND, GROWTH = 1, 12, 256
+#: The second round takes more than SECOND_ROUND, up to GROWTH times as many, where few sets are left: as many for each
+#: as make up so many times the pairs of the first round. A round reads all postings and all lines.
+SHARE = 16
+
+
+def second(pairs: int, left: int) -> int:
+    """How many candidates under each token the second round takes."""
+    return min(SECOND_ROUND * GROWTH, max(SECOND_ROUND, SHARE * pairs // left))
+
+
 #: Up to so many ids (8 bytes each) are sent to every task; more are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -534,7 +539,7 @@ def near_matches(sets: DataFrame, n: int) -> DataFrame:
         pairs = stored(pairs, "pairs")
         to = F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("x").alias("to")), F.struct(F.col("y").alias("id"), F.col("x").alias("to"))))
         to = pairs.select(to.alias("w")).select("w.*").distinct()
-        if pairs.count() <= BROADCAST_IDS // 4:  # an id of its own and one of a partner each, 16 bytes a piece
+        if (met := pairs.count()) <= BROADCAST_IDS // 4:  # an id of its own and one of a partner each, 16 bytes a piece
             own, at = ids(to, "id", "to")
             order = np.argsort(own, kind="stable")
             few = context.broadcast((own[order], at[order]))
@@ -551,7 +556,7 @@ def near_matches(sets: DataFrame, n: int) -> DataFrame:
             return found.select("doc", "row", "line")
         only = context.broadcast(np.sort(ids(left, "x")[0])) if count <= BROADCAST_IDS else None
         # what the first round gave may stand anywhere among all partners, so the second begins with the first of them
-        least, most, first = (0, SECOND_ROUND, False) if first else (most, GROWTH * most, False)
+        least, most, first = (0, second(met, count), False) if first else (most, GROWTH * most, False)
 
 
 def later_matches(docs: DataFrame) -> DataFrame:
@@ -599,14 +604,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     def cut(batches):
         for b in batches:
             out, n, m = [], [], []
-            for t, copy, gone in zip(*(b.column(c).to_pylist() for c in ("text", "__line_copy", "__line_gone"))):
-                own = [] if t is None else t.split("\n")
-                drop = {i for i, x in enumerate(own) if words(x.encode())} if copy > 1 else set(gone or ())
+            for t, copy, gone in zip(*(x.to_pylist() for x in (b.column("text").cast(pa.binary()), b.column("__line_copy"), b.column("__line_gone")))):
+                own = [] if t is None else t.split(b"\n")
+                drop = {i for i, x in enumerate(own) if words(x)} if copy > 1 else set(gone or ())
                 n.append(len(own))
                 m.append(len(drop))
-                out.append("\n".join([x for i, x in enumerate(own) if i not in drop]) if drop else t)
+                out.append(b"\n".join([x for i, x in enumerate(own) if i not in drop]) if drop else t)
             b = b.drop_columns(["__line_copy", "__line_gone"])
-            b = b.set_column(b.schema.names.index("text"), "text", pa.array(out, pa.string()))
+            b = b.set_column(b.schema.names.index("text"), "text", pa.array(out, pa.binary()).cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(m, pa.int64())], names=[*b.schema.names, "n_lines", "n_removed"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("n_lines", "n_removed").schema)

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from quillon.llm import lines as L
 from quillon.llm.common import packed, squeezed
@@ -80,3 +81,35 @@ def test_hashes_of_words():
             sets[t, k] = set(w.tolist())
     assert [len(x) for x in sets.values()] == [2, 1, 2, 2]
     assert sets[1, 0] < sets[0, 0] and len(sets[0, 0] & sets[1, 1]) == 1 and not sets[2, 0] & sets[0, 0]
+
+
+def test_share_of_the_second_round():
+    """Few sets left take many candidates each, many take SECOND_ROUND; it takes no more than a third round would."""
+    assert L.second(1000, 1000) == max(L.SECOND_ROUND, L.SHARE)
+    assert L.second(10, 1000) == L.SECOND_ROUND
+    assert L.second(20_000, 1000) == 20 * L.SHARE
+    assert L.second(10**9, 1) == L.SECOND_ROUND * L.GROWTH
+
+
+def test_work_of_later_rounds(monkeypatch):
+    """A later round seeks the partners of the sets that are left, not of all."""
+    n, seen = 300, []
+    got = {"key": np.sort(np.arange(n) % 3).astype("u8") << L.SIZE | np.uint64(10), "id": np.arange(n) + 7, "doc": np.arange(n), "n": np.full(n, 10, "u4"), "place": np.zeros(n, "u4"), "low": np.zeros(n, "u8"), "high": np.zeros(n, "u8")}
+    row = squeezed(packed(np.zeros(n, np.int32), **got), key="u8", **L.SMALL)
+    monkeypatch.setattr(L, "needed", lambda n, own=L.needed: seen.append(np.size(n)) or own(n))
+    only = type("Held", (), {"value": np.array([3, 12, 57, 4000])})
+    found = [x for b in L.candidates(0, 1 << 40, False, only)([row]) for x in zip(*(c.to_pylist() for c in b.columns[:2]))]
+    assert sorted(found) == [(12, 7 + i) for i in range(5)] + [(57, 7 + i) for i in range(50)]
+    assert sum(seen) == 2
+
+
+def test_work_of_prefixes(monkeypatch):
+    """Only the words of prefixes are mixed anew, not all words of all sets."""
+    seen, n = [], np.array([40, 30, 3])
+    token = np.concatenate([np.sort(L.mix(np.arange(k) + 5) >> np.uint64(16)) for k in n])
+    block = pa.RecordBatch.from_pydict({"base": [0], "doc": [np.arange(3).tobytes()], "n": [n.astype("u4").tobytes()], "tokens": [L.narrow(token).tobytes()]})
+    monkeypatch.setattr(L, "mix", lambda x, seed=0, own=L.mix: seen.append(len(x)) or own(x, seed))
+    held = type("Held", (), {"value": np.full(L.COUNTERS, 5, np.uint8)})
+    out = list(L.prefixes(held, 4, L.HOT)([block]))
+    assert sum(len(x) // L.WIDE for b in out for x in b.column("token").to_pylist()) == 9 + 7
+    assert sum(seen) == 9 + 7
