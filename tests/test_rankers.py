@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from quillon import contract as C
@@ -238,6 +239,29 @@ def test_coverage_reads_chunks_once(spark, monkeypatch):
     assert found() == want and again == [[1, 3]]
 
 
+@pytest.mark.parametrize("ranker, score, whole", [("retrieve_coverage", "cov", "scored_by")])
+def test_equal_documents_are_scored_as_one(spark, monkeypatch, ranker, score, whole):
+    """Copies of documents, without an id too, take one place among the held ones, and the first of them are found."""
+    docs, qs = corpus(spark)
+    rnd = random.Random(7)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(i, " ".join(f"word{rnd.randint(0, 59)}" for _ in range(400))) for i in range(100, 103)]
+    asked = [(6000 - i, "word3 word17 word40") for i in range(40)] + [(7000 + i, "word40 word3 word17" if i % 2 else "word5") for i in range(40)]
+    rows += [(i * 1000 + d, t) for i in range(1, 20) for d, t in rows] + asked + [(None, "word5"), (None, " ".join(["word5"] * 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    df, n, _ = L.survey(docs, qs)
+    plan = L.prepared(L.terms(qs, df, n), most=1 << 20)
+    again = []
+    f = getattr(L, whole)
+    monkeypatch.setattr(L, whole, lambda *a: again.append([x[0] if isinstance(x, tuple) else x for x in a[1]]) or f(*a))
+    found = lambda: sorted((r.qid, r.rk, r.doc_id or -1, r.chunk, round(r[score], 6)) for r in getattr(L, ranker)(L.tokenised(docs), plan, 9, dim=1024, composed=False).collect())
+    monkeypatch.setattr(L, "LIKELY", 20)
+    got = found()
+    assert not again and len(got) == 18
+    monkeypatch.setattr(L, "LIKELY", 1)
+    monkeypatch.setattr(L, "guessed", lambda index, tokens, *_: (np.full(len(tokens), 1e3), np.ones(len(tokens))))
+    assert found() == got and again == [[1, 3]]  # document by document
+
+
 def test_guesses_are_wrong_by_no_more_than_is_said():
     rng = np.random.default_rng(8)
     dim, plan = 1024, [(np.array([3.0, 1.5]), [[0, 1], [2]]), (np.array([2.0]), [[3, 3, 0]])]
