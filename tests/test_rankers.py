@@ -239,7 +239,7 @@ def test_coverage_reads_chunks_once(spark, monkeypatch):
     assert found() == want and again == [[1, 3]]
 
 
-@pytest.mark.parametrize("ranker, score, whole", [("retrieve_coverage", "cov", "scored_by")])
+@pytest.mark.parametrize("ranker, score, whole", [("retrieve_coverage", "cov", "scored_by"), ("retrieve_windows", "score", "windows_by")])
 def test_equal_documents_are_scored_as_one(spark, monkeypatch, ranker, score, whole):
     """Copies of documents, without an id too, take one place among the held ones, and the first of them are found."""
     docs, qs = corpus(spark)
